@@ -1,9 +1,10 @@
 """The queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from quire.llm import exact_dedup, pii, url_filter
+from quire.llm import exact_dedup, minhash, pii, url_filter
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
+    "op3_minhash": minhash.query,
     "op4_url_filter": url_filter.query,
     "op7_pii": pii.query,
 }
