@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from quire.llm import exact_dedup, minhash, pii, token_counts, url_filter
+from quire.llm import exact_dedup, minhash, packing, pii, token_counts, url_filter
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
@@ -8,5 +8,6 @@ QUERIES = {
     "op4_url_filter": url_filter.query,
     "op5_token_counts": token_counts.query,
     "op7_pii": pii.query,
+    "op9_packing": packing.query,
 }
 ORACLE_SQL = {"op2_exact_dedup": exact_dedup.SQL}
