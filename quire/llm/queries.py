@@ -1,8 +1,9 @@
 """The queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from quire.llm import exact_dedup, minhash, packing, pii, token_counts, url_filter
+from quire.llm import exact_dedup, minhash, packing, pii, quality, token_counts, url_filter
 
 QUERIES = {
+    "op1_quality": quality.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_minhash": minhash.query,
     "op4_url_filter": url_filter.query,
