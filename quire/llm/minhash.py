@@ -19,9 +19,8 @@ from quire.llm.shared import stored, table
 COORDS, BANDS = 128, 32
 #: Least similarity, as two whole numbers: OVER * intersection >= LEAST * union.
 OVER, LEAST = 100, 75
-#: A bucket with at most so many unsettled sets has all pairs between its components verified; a larger one goes on with
-#: its next leader.
-SMALL = 16
+#: Sets of a bucket that are compared with each other in one task; larger buckets are dealt out as pairs of blocks.
+BLOCK = 256
 
 
 def sketches(sets: list[np.ndarray], coords: int = COORDS) -> np.ndarray:
@@ -89,20 +88,60 @@ def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["set_id", "elements"])
 
 
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets are linked."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    if OVER * len(x) < LEAST * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
+    return OVER * both >= LEAST * (len(x) + len(y) - both)
+
+
+def _elements(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in column]
+
+
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-            x, y = (x, y) if len(x) <= len(y) else (y, x)
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            both = int((y[at] == x).sum())
-            good.append(OVER * both >= LEAST * (len(x) + len(y) - both))
-        mask = pa.array(good, pa.bool_())
+        mask = pa.array([_similar(x, y) for x, y in zip(_elements(batch.column(2)), _elements(batch.column(3)))], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
 
+def _block_links(group: pa.Table) -> pa.Table:
+    """Links that join components among the sets of one block, or between those of two.
+
+    A pair is compared in the first band that both share, so once in the whole job, and only while its sets aren't known
+    to be connected; the links found form a forest over the components.
+    """
+    group = group.combine_chunks()
+    band, low, high = (group.column(c)[0].as_py() for c in ("band", "low", "high"))
+    ids, roots, block = (group.column(c).to_pylist() for c in ("set_id", "root", "block"))
+    sets = _elements(group.column("elements"))
+    keys = np.array(group.column("bands").to_pylist(), dtype=np.int64).reshape(len(ids), -1)
+    up = {r: r for r in roots}
+
+    def top(x: bytes) -> bytes:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    a, b = [], []
+    sizes = np.array([len(x) for x in sets])
+    for i in range(len(ids)):
+        if block[i] != low:
+            continue
+        same = keys == keys[i]
+        fits = (np.argmax(same, axis=1) == band) & (np.minimum(sizes, sizes[i]) * OVER >= np.maximum(sizes, sizes[i]) * LEAST)
+        for j in np.flatnonzero(fits):
+            if block[j] == high and (low != high or i < j) and top(roots[i]) != top(roots[j]) and _similar(sets[i], sets[j]):
+                up[top(roots[i])] = top(roots[j])
+                a.append(ids[i])
+                b.append(ids[j])
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
 def near_size(n: Column, m: Column) -> Column:
     """What linked sets' sizes fulfil: the smaller is at least LEAST / OVER of the larger."""
     return F.least(n, m) * OVER >= F.greatest(n, m) * LEAST
@@ -118,40 +157,34 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def links_of(signed: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, root): set ids with links, and the smallest set id they reach.
 
-    One row for each different set goes into the buckets. Round by round each bucket's leader, its smallest set id, is
-    verified against every other member that it isn't yet connected with; then it leaves the bucket, and components are
-    found anew. Members of one component need no further test, so a group of near copies is settled by its first leader,
-    and no bucket ever makes all its pairs. Buckets whose unsettled rest is small end by all pairs between components.
+    One row for each different set goes into the buckets. First each bucket's leader, its smallest set id, is verified
+    against the other members, which settles groups of near copies by a star of pairs. What is left are buckets with members
+    of several components: these are compared with each other in blocks of a bounded size, where only links that join
+    components come out. So every pair that shares a bucket is verified or known to be connected, and no join makes all
+    pairs of a bucket.
     """
-    spark = signed.sparkSession
     sets = signed.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    spread = stored(sets.select("set_id", "doc_id", "n", F.explode("bands").alias("bucket")), "buckets")
-    many = spread.groupBy("bucket").agg(F.count("*").alias("m")).filter("m > 1").select("bucket")
-    members = stored(spread.join(many, "bucket").select("bucket", "set_id", "doc_id", "n"), "members")
-    wanted = members.select("doc_id").distinct()
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi").select("doc_id", "text")
-    full = stored(texts.mapInArrow(_full, "set_id binary, elements binary").join(members.select("set_id").distinct(), "set_id").dropDuplicates(["set_id"]), "sets")
-    open_, links, first = members.select("bucket", "set_id", "n", F.col("set_id").alias("root")), None, True
-    while True:
-        lead = open_.groupBy("bucket").agg(F.min(F.struct("set_id", "n", "root")).alias("lead"), F.count("*").alias("m"))
-        met = open_.join(lead.withColumn("ends", F.lit(not first) & (F.col("m") <= SMALL)), "bucket")
-        met = stored(met, "met")
-        star = met.filter(~F.col("ends") & (F.col("root") != F.col("lead.root")) & near_size(F.col("n"), F.col("lead.n")))
-        pairs = star.select(F.col("lead.set_id").alias("a"), F.col("set_id").alias("b"))
-        if not first:
-            small = met.filter("ends")
-            other = small.select("bucket", F.col("set_id").alias("a"), F.col("n").alias("k"), F.col("root").alias("a_root"))
-            cross = small.join(other, "bucket").filter((F.col("a") < F.col("set_id")) & (F.col("a_root") != F.col("root")) & near_size(F.col("n"), F.col("k")))
-            pairs = pairs.unionByName(cross.select("a", F.col("set_id").alias("b")))
-        new = stored(verified(stored(pairs.distinct(), "pairs"), full), "links")
-        links = new if links is None else stored(links.unionByName(new), "links")
-        roots = components(links)
-        rest = met.filter(~F.col("ends") & (F.col("set_id") != F.col("lead.set_id"))).select("bucket", "set_id", "n")
-        rest = rest.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("bucket", "set_id", "n", F.coalesce("root", "set_id").alias("root"))
-        split = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-        open_, first = stored(rest.join(split, "bucket"), "open"), False
-        if open_.isEmpty():
-            return roots
+    sets = stored(sets, "sets")
+    spread = sets.select("set_id", "n", F.posexplode("bands").alias("band", "bucket"))
+    lead = spread.groupBy("bucket").agg(F.min("set_id").alias("lead"), F.count("*").alias("m")).filter("m > 1").select("bucket", "lead")
+    members = stored(spread.join(lead, "bucket"), "members")
+    wanted = stored(members.select("set_id").distinct().join(sets.select("set_id", "doc_id"), "set_id"), "wanted")
+    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    unknown = docs.filter("doc_id IS NULL")
+    full = texts.unionByName(unknown).mapInArrow(_full, "set_id binary, elements binary").join(wanted.select("set_id"), "set_id", "left_semi")
+    full = stored(full.groupBy("set_id").agg(F.first("elements").alias("elements")), "elements")
+    sizes = sets.select(F.col("set_id").alias("lead"), F.col("n").alias("lead_n"))
+    star = members.filter(F.col("set_id") != F.col("lead")).select("lead", "set_id", "n").distinct().join(sizes, "lead").filter(near_size(F.col("n"), F.col("lead_n")))
+    links = stored(verified(star.select(F.col("lead").alias("a"), F.col("set_id").alias("b")), full), "links")
+    roots = components(links)
+    rest = members.filter(F.col("set_id") != F.col("lead")).join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("bucket", "band", "set_id", F.coalesce("root", "set_id").alias("root"))
+    open_ = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("lo <> hi").select("bucket", "blocks")
+    dealt = rest.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    dealt = stored(dealt.select("bucket", "band", "set_id", "root", "block", "low", "high"), "open")
+    held = dealt.join(full, "set_id").join(sets.select("set_id", "bands"), "set_id")
+    more = stored(held.groupBy("bucket", "low", "high").applyInArrow(_block_links, "a binary, b binary").distinct(), "links")
+    return components(links.unionByName(more))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
