@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from quire.llm import exact_dedup, minhash, packing, pii, quality, token_counts, url_filter
+from quire.llm import exact_dedup, minhash, packing, pii, quality, substring_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -10,5 +10,6 @@ QUERIES = {
     "op5_token_counts": token_counts.query,
     "op7_pii": pii.query,
     "op9_packing": packing.query,
+    "op10_substring_dedup": substring_dedup.query,
 }
 ORACLE_SQL = {"op2_exact_dedup": exact_dedup.SQL}

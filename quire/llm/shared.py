@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.session import ship
+
 #: The white space of every contract here: space and the control characters 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -27,12 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a Parquet table in the shared folder: it survives lost executors and can be read by column."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
