@@ -1,6 +1,7 @@
 """The queries of this subpackage and, where SQL can say the same, their SQL."""
 
-from quire.llm import exact_dedup, minhash, packing, pii, quality, substring_dedup, token_counts, url_filter
+import corpus_pipeline
+from quire.llm import exact_dedup, minhash, mixing, packing, pii, quality, substring_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_quality": quality.query,
@@ -9,7 +10,9 @@ QUERIES = {
     "op4_url_filter": url_filter.query,
     "op5_token_counts": token_counts.query,
     "op7_pii": pii.query,
+    "op8_mixing": mixing.query,
     "op9_packing": packing.query,
     "op10_substring_dedup": substring_dedup.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL = {"op2_exact_dedup": exact_dedup.SQL}
