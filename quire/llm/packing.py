@@ -7,8 +7,10 @@ import functools
 import os
 import re
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,17 +22,18 @@ from pyspark.sql import functions as F
 from quire.llm.shared import stored, table
 
 WINDOW, END = 2048, 1
-#: Bytes of text whose words are held at once, words a worker keeps, and lengths from which triples are formed.
-SEGMENT, WORDS, TRIPLES = 1 << 21, 600_000, 48
+#: Bytes of text whose words are held at once, words and stems a worker keeps, and lengths from which triples are formed.
+SEGMENT, WORDS, STEMS, TRIPLES = 1 << 21, 400_000, 900_000, 48
+MARKS = b".,!?;:"
 _CUT = re.compile(rb"[\x20\x09-\x0D]")
-_MARKS = re.compile(r"[.,!?;:]+$")
 
 
 class Words(dict):
-    """Token ids by white-space word, for a tokenizer that drops white space: word -> number; ids lie in one flat array.
+    """Token ids by white-space word, for a tokenizer that drops white space: word -> number.
 
-    A word that isn't known is looked up lower-cased (the tokenizer lower-cases) and without its closing marks, which are a
-    pretoken of their own after a letter; only what is left over goes to the library, all new words of a segment at once.
+    A word is one or two stems: the word lower-cased (as the tokenizer does), or that without its closing marks, which are a
+    pretoken of their own after a letter, and these marks. Stems have their ids in one flat array; only new stems go to the
+    library, all those of a segment at once. Words and stems are forgotten when there are too many of either.
     """
 
     def __init__(self, text: str):
@@ -44,60 +47,70 @@ class Words(dict):
 
     def reset(self) -> None:
         self.clear()
-        self.number, self.new, self.same = 0, [], []
+        self.first, self.second = array("q"), array("q")
+        self.stems, self.new = {b"": 0}, []
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.start, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def stem(self, word: bytes) -> int:
+        at = self.stems.get(word)
+        if at is None:
+            at = self.stems[word] = len(self.stems)
+            self.new.append(word.decode())
+        return at
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = at = self.number
-        self.number += 1
+        self[word] = at = len(self.first)
+        stem, marks = word, b""
         if b"<|" not in word:
-            low = word.lower()
-            text = low.decode()
-            marks = _MARKS.search(text)
-            if marks and marks.start() and ord(text[marks.start() - 1]) < 0x530 and text[marks.start() - 1].isalpha():
-                self.same.append((at, (self[text[: marks.start()].encode()], self[marks[0].encode()])))
-                return at
-            if low != word:
-                self.same.append((at, (self[low],)))
-                return at
-        self.new.append((at, word.decode()))
+            stem = word.lower()
+            if stem[-1] in MARKS:
+                bare = stem.rstrip(MARKS)
+                if bare and (97 <= bare[-1] <= 122 or bare[-1] > 127 and settled_letter(bare)):
+                    stem, marks = bare, stem[len(bare) :]
+        self.first.append(self.stem(stem))
+        self.second.append(self.stem(marks))
         return at
 
-    def _put(self, at: int, ids) -> None:
-        n = len(ids)
-        if self.used + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), n), np.uint32)])
-        self.flat[self.used : self.used + n] = ids
-        self.start[at], self.size[at] = self.used, n
-        self.used += n
-
     def settle(self) -> None:
-        if self.number > len(self.start):
-            more = max(self.number - len(self.start), len(self.start))
-            self.start, self.size = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.start, self.size))
-        for (at, _), e in zip(self.new, self.library.encode_batch([w for _, w in self.new], add_special_tokens=False)):
-            self._put(at, e.ids)
-        for at, parts in sorted(self.same, key=lambda x: len(x[1]), reverse=True):
-            if len(parts) == 2:
-                self._put(at, np.concatenate([self.flat[self.start[p] : self.start[p] + self.size[p]] for p in parts]))
-        for at, parts in self.same:
-            if len(parts) == 1:
-                self.start[at], self.size[at] = self.start[parts[0]], self.size[parts[0]]
-        self.new, self.same = [], []
+        """Have the library encode the stems that are new."""
+        if not self.new:
+            return
+        found = [e.ids for e in self.library.encode_batch(self.new, add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start = np.concatenate([self.start, self.used + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.used += len(ids)
+        self.new = []
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """The token ids of each text."""
-        if self.number > WORDS:
+        if len(self.stems) > STEMS:
             self.reset()
+        elif len(self) > WORDS:
+            self.clear()
+            self.first, self.second = array("q"), array("q")
         words = [t.split() for t in texts]
-        numbers = np.fromiter((self[w] for ws in words for w in ws), np.int64, sum(map(len, words)))
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
         self.settle()
-        sizes = self.size[numbers]
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.flat[np.repeat(self.start[numbers] - upto[:-1], sizes) + np.arange(upto[-1])]
-        cuts = upto[np.cumsum([len(ws) for ws in words])[:-1]] if len(words) > 1 else []
-        return np.split(flat, cuts)
+        stems = np.empty((len(numbers), 2), np.int64)
+        stems[:, 0], stems[:, 1] = (np.array(x, np.int64)[numbers] for x in (self.first, self.second))
+        sizes = self.size[stems]
+        own = np.concatenate([[0], np.cumsum(sizes.sum(axis=1))])
+        stems, sizes = stems[sizes > 0], sizes[sizes > 0]
+        upto = np.cumsum(sizes) - sizes
+        flat = self.flat[np.repeat(self.start[stems] - upto, sizes) + np.arange(own[-1])]
+        return np.split(flat, own[np.cumsum([len(ws) for ws in words])[:-1]])
+
+
+def settled_letter(word: bytes) -> bool:
+    """Whether the last character is a letter in every version of Unicode."""
+    last = word.decode()[-1]
+    return last < "\u0530" and last.isalpha()
 
 
 @functools.lru_cache(maxsize=1)
