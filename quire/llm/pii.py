@@ -49,7 +49,7 @@ def luhn(digits: Column) -> Column:
 def mod97(text: Column) -> Column:
     """Whether letters and digits, the first four moved to the end and letters read as 10 to 35, are 1 modulo 97."""
     moved = F.concat(F.substr(text, F.lit(5)), F.substr(text, F.lit(1), F.lit(4)))
-    return F.aggregate(F.split(moved, "(?!^)"), F.lit(0), lambda a, c: F.when(c.between("0", "9"), (a * 10 + c.try_cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)) == 1
+    return F.aggregate(F.split(moved, ""), F.lit(0), lambda a, c: F.when(c.between("0", "9"), (a * 10 + c.try_cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)) == 1
 
 
 def confirmed(kind: str, text: Column) -> Column:

@@ -11,13 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.shared import table
+from quire.session import ship
 
 LIMIT = 512
 #: Code points of a chunk; states and words that a worker keeps before it starts its tables anew.
 CHUNK, STATES, WORDS = 1 << 16, 300_000, 400_000
 
 #: The white space of the byte-level pattern (Unicode White_Space), as a character class.
-BLANK = r"\t-\r\x20\x85\xa0  -     　"
+BLANK = r"\t-\r\x20\x85\xa0 \u2000-\u200a\u2028\u2029\u202f 　"
 #: Up to here the classes letter and number are the same in every Unicode version, so they can be read from Python's tables.
 SETTLED = 0x530
 
@@ -243,6 +244,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    ship(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as f:
         held = docs.sparkSession.sparkContext.broadcast(f.read())
 

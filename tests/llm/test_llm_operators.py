@@ -1,0 +1,355 @@
+"""Each operator against a brute-force version, with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quire.llm import exact_dedup, hilbert, minhash, mixing, packing, pii, quality, substring_dedup, token_counts, url_filter
+
+rng = random.Random(5)
+WORDS = ["".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 8))) for _ in range(900)]
+BASE = " ".join(rng.choice(WORDS) for _ in range(120))
+PASSAGE = " ".join(rng.choice(WORDS) for _ in range(70))
+
+
+def prose(n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def near(text, changes):
+    words = text.split()
+    for _ in range(changes):
+        words[rng.randrange(len(words))] = rng.choice(WORDS)
+    return " ".join(words)
+
+
+TEXTS = [
+    (1, BASE), (2, BASE), (3, BASE.replace(" ", "\n\t ")), (4, near(BASE, 3)), (5, near(BASE, 30)), (6, None), (7, ""), (8, " \t\n"), (9, "one"), (10, "one two three"), (11, "ONE two three"),
+    (12, prose(40) + " " + PASSAGE + " " + prose(40)), (13, prose(25) + " " + PASSAGE + " " + prose(60)), (14, prose(3000)), (15, "x" * 30000), (16, prose(200)), (16, prose(100)),
+    (17, "Mail a.b%c@d-e.example.org%f@g.h or 10.0.0.256 and 10.0.0.255, 4111 1111 1111 1111, +1 (988) 555-2485, IBAN DE89 3704 0044 0532 0130 00."), (None, BASE), (18, "é" * 600 + "<|endoftext|> don't 中文  \u00a0x"), (1, BASE),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, f"s{(i or 0) % 3}" if i != 9 else None, 1, 2, "z") for i, t in TEXTS]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, n long, kept int, tokens string").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def test_exact_dedup(docs, none):
+    got = rows(exact_dedup.exact_dedup(docs))
+    bare = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    groups = defaultdict(list)
+    for i, t in TEXTS:
+        groups[bare(t)].append((-len(t or ""), i is None, i))
+    want = sorted((str(i), str(min(groups[bare(t)], key=lambda x: (x[0], x[1], x[2] or 0))[2]), len(groups[bare(t)]), hashlib.sha256(bare(t).encode()).hexdigest()) for i, t in TEXTS)
+    assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["text_sha256"]) for r in got) == want
+    assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got)
+    kept = exact_dedup.kept_documents(docs)
+    assert kept.columns == docs.columns and kept.count() == len(groups)
+    assert exact_dedup.exact_dedup(none).count() == 0 and exact_dedup.kept_documents(none).count() == 0
+
+
+def test_exact_dedup_is_the_same_for_any_tree(docs):
+    a, b = (sorted(map(str, rows(exact_dedup.exact_dedup(docs.repartition(7), fan_bits=k)))) for k in (1, 4))
+    assert a == b
+
+
+def test_near_dedup(docs, none):
+    up = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def shingles(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(up))
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+    sets = [(i, shingles(t)) for i, t in TEXTS]
+    reach = {k: {k} for k in range(len(sets))}
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                whole = reach[a] | reach[b]
+                for k in whole:
+                    reach[k] = whole
+    least = lambda ids: min((i for i in ids if i is not None), default=None)
+    want = sorted((str(sets[k][0]), len(sets[k][1]), str(least([sets[j][0] for j in reach[k]]))) for k in reach)
+    got = rows(minhash.near_dedup(docs))
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == want
+    assert minhash.near_dedup(none).count() == 0
+    assert minhash.kept_documents(docs).columns == docs.columns
+
+
+def test_sketches_fill_and_estimate():
+    a = [np.sort(np.array(rng.sample(range(1 << 60), n), dtype=np.uint64)) for n in (1, 2, 50, 3000)]
+    s = minhash.sketches(a)
+    assert (s != np.uint64(0xFFFFFFFFFFFFFFFF)).all()
+    half = np.sort(np.concatenate([a[3][:1500], np.array(rng.sample(range(1 << 60), 1500), dtype=np.uint64)]))
+    assert abs((minhash.sketches([half])[0] == s[3]).mean() - 1 / 3) < 0.15
+
+
+def test_block_links_join_components_across_blocks(spark):
+    import pyarrow as pa
+
+    base = np.arange(1, 101, dtype=np.uint64)
+    sets = [base, base[:90], base + np.uint64(1000)]
+    keys = [[7, 1], [7, 2], [7, 3]]
+    t = pa.table({"band": pa.array([0] * 3, pa.int32()), "low": pa.array([0] * 3, pa.int32()), "high": pa.array([1] * 3, pa.int32()), "set_id": [b"a", b"b", b"c"], "root": [b"a", b"b", b"c"], "block": pa.array([0, 1, 1], pa.int32()), "elements": [x.tobytes() for x in sets], "bands": keys})
+    assert minhash._block_links(t).to_pylist() == [{"a": b"a", "b": b"b"}]
+
+
+def test_url_filter(spark):
+    urls = ["https://a.example.org/en/2", "http://example.org/es/1", "http://x.example.org/en/17?q", "http://EXAMPLE.COM/fr/", "http://m.b.com/de/#a", "http://a.net/x", "http://notorg/x", None, "", "no scheme", "x://com", "ftp://h.org?/fr", "http://free-casino.net/en", "http://a.net/x", "é://ü.org/ß"]
+    pages = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
+    got = {r["page_id"]: r for r in rows(url_filter.url_filter(pages))}
+    want = ["org/", "example.org/es/", "example.org/en/1", "com/fr/", "com/de/", None, None, None, None, None, None, None, None, None, "org/"]
+    assert [got[i]["rule"] for i in range(len(urls))] == want
+    assert (got[3]["host"], got[3]["path"], got[7]["host"], got[11]["host"], got[11]["path"]) == ("example.com", "/fr/", "", "h.org", "")
+    assert all(got[i]["verdict"] == ("allow" if w in ("org/", "com/fr/") else "block") for i, w in enumerate(want) if w)
+    assert {r["verdict"] for r in got.values()} <= {"allow", "block"} and got[5]["verdict"] == got[13]["verdict"]
+    assert url_filter.url_filter(pages.limit(0)).count() == 0
+    twice = rows(url_filter.url_filter(pages.union(pages)))
+    assert len(twice) == 2 * len(urls)
+
+
+def test_url_models_follow_the_definition(spark):
+    grams = [("^^^a", 3, 0), ("^^ab", 2, 1), ("^^ac", 1, 0), ("^abb", 1, 1)]
+    got = {r["gram"]: r["llr"] for r in rows(url_filter.ratios(spark.createDataFrame(grams, "gram string, accepted long, rejected long")))}
+
+    def p(gram, col):
+        found = None
+        for k in range(1, 5):
+            g = gram[-k:]
+            n = sum(x[col] for x in grams if x[0][-k:] == g)
+            kin = defaultdict(int)
+            for x in grams:
+                if x[0][-k:-1] == g[:-1] or k == 1:
+                    kin[x[0][-k:]] += x[col]
+            total, kinds = sum(kin.values()), sum(v > 0 for v in kin.values())
+            if k == 1:
+                found = (n + 1) / (total + 32)
+            elif total:
+                found = (n + kinds * found) / (total + kinds)
+        return found
+
+    assert got == {g[0]: round((math.log(p(g[0], 1)) - math.log(p(g[0], 2))) * 1e6) for g in grams}
+
+
+def test_token_counts(docs, none):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    n = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
+    got = rows(token_counts.token_counts(docs))
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got) == sorted((str(i), len((t or "").encode()), n(t), n(t) > 512) for i, t in TEXTS)
+    assert token_counts.token_counts(none).count() == 0
+
+
+def test_chunk_maps_compose(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, mine = Tokenizer.from_file(path), token_counts.Counter(open(path, encoding="utf-8").read())
+    monkeypatch.setattr(token_counts, "CHUNK", 5)
+    parts = ["a", "the", "'s", " ", "  ", "\n", "\t", "\u00a0", "é", "1", "²", "_", "$", "中文", "<|endoftext|>", "\x1c", "'re", "!!!", "x" * 20, "\u200b", "0000"]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))
+        assert mine(text) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
+
+
+def test_nearest_neighbours(spark):
+    gen = np.random.default_rng(3)
+    x = gen.standard_normal((600, 8))
+    x[100:160] = x[100]  # a vector that many rows have
+    data = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(700, None, 0), (720, [0.0] * 8, 0), (740, [float("nan")] + [1.0] * 7, 0), (760, [1.0, None] + [1.0] * 6, 0), (780, [1.0], 0), (20, x[20].tolist(), 0)]
+    vectors = spark.createDataFrame(data, "vec_id long, embedding array<double>, rank int")
+    got = rows(hilbert.search(vectors))
+    by = defaultdict(dict)
+    for r in got:
+        by[r["query_id"]][r["rank"]] = (r["vec_id"], r["score"])
+    assert set(by) == {i for i in range(600) if i % 20 == 0}
+    hit = 0
+    for q, found in by.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        best = sorted(range(600), key=lambda i: (-round(s[i], 9), i))[:20]
+        assert sorted(found) == list(range(1, 21)) and all(abs(s[i] - v) < 1e-9 for i, v in found.values())
+        hit += len({i for i, _ in found.values()} & set(best))
+    assert hit / (20 * len(by)) >= 0.9
+    few = rows(hilbert.search(vectors.filter("vec_id < 5 OR vec_id = 20")))
+    assert {r["query_id"] for r in few} == {0, 20} and len(few) == 10
+    assert hilbert.search(vectors.limit(0)).count() == 0
+
+
+def test_hilbert_steps_are_neighbours():
+    cells = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
+    order = cells[np.argsort(hilbert.hilbert(cells, 3))]
+    assert len(set(hilbert.hilbert(cells, 3).tolist())) == 512 and (np.abs(np.diff(order, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_pii(docs, none, spark):
+    found = {r["doc_id"]: r for r in rows(pii.find_pii(docs))}[17]
+    text = dict(TEXTS)[17]
+    got = [(s["kind"], text[s["start"] : s["end"]]) for s in found["spans"]]
+    assert got == [("email", "a.b%c@d-e.example.org"), ("email", "%f@g.h"), ("ip", "10.0.0.255"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (988) 555-2485"), ("iban", "DE89 3704 0044 0532 0130 00")]
+    assert pii.find_pii(none).count() == 0
+    wrong = spark.createDataFrame([(1, "IBAN DE89 3704 0044 0532 0130 01 card 4111 1111 1111 1112 +12"), (2, None), (3, "a" * 50000 + "@" + "1 " * 20000)], "doc_id long, text string")
+    assert [len(r["spans"]) for r in pii.find_pii(wrong).orderBy("doc_id").collect()] == [0, 0, 0]
+    assert "[CARD]" in {r["doc_id"]: r["text"] for r in rows(pii.masked(docs))}[17]
+
+
+def test_mixing(docs, none):
+    got = rows(mixing.mix(docs, entropy=0.97))
+    total, took, by = defaultdict(int), defaultdict(int), defaultdict(list)
+    for r in got:
+        total[r["source"]] += r["tokens"]
+        took[r["source"]] += r["tokens"] * r["copies"]
+        by[r["source"]].append(r)
+    every = sum(total.values())
+    share = {s: t / every for s, t in total.items() if t}
+
+    def entropy(e):
+        w = [p**e for p in share.values()]
+        return -sum(x / sum(w) * math.log(x / sum(w)) for x in w), max(x / sum(w) / p for x, p in zip(w, share.values()))
+
+    def last(good):
+        lo, hi = 0.0, 1.0
+        for _ in range(50):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if good(mid) else (lo, mid)
+        return lo
+
+    e = max(1.0 if entropy(1)[0] >= 0.97 * math.log(len(share)) else last(lambda x: entropy(x)[0] >= 0.97 * math.log(len(share))), last(lambda x: entropy(x)[1] > 2) if entropy(0)[1] > 2 else 0)
+    z = sum(p**e for p in share.values())
+    for s, p in share.items():
+        quota, places = p**e / z * every, sorted({r["place"] for r in by[s]})
+        wants = set()
+        for near_quota in (math.floor(quota - 1e-4), math.floor(quota + 1e-4)):  # the exponent is found to about 1e-7
+            left, upto = near_quota % total[s], 0
+            for place in places:
+                own = sum(r["tokens"] for r in by[s] if r["place"] == place)
+                if upto + own > left:
+                    break
+                upto += own
+            wants.add(near_quota // total[s] * total[s] + upto)
+        assert took[s] in wants
+    assert len(got) == len(TEXTS) and mixing.mix(none).count() == 0
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in rows(mixing.mix(docs)))
+
+
+def test_packing(docs, none, spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    plain = spark.createDataFrame([(100 + k, t) for k, (_, t) in enumerate(TEXTS)], "doc_id long, text string")
+    got = rows(packing.pack(plain))
+    by, seqs = defaultdict(list), defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append(r)
+        seqs[r["sequence_id"]].append(r)
+    for k, (_, t) in enumerate(TEXTS):
+        ids, at = [*library.encode(t or "", add_special_tokens=False).ids, 1], 0
+        for r in sorted(by[100 + k], key=lambda r: r["start"]):
+            own = ids[r["start"] : r["start"] + r["length"]]
+            assert r["start"] == at and r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(np.array(own, "<u4").tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    sizes = []
+    for own in seqs.values():
+        at = 0
+        for r in sorted(own, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        sizes.append(at)
+    assert max(sizes) <= 2048 and sum(s < 2048 for s in sizes) <= 1 and sorted(seqs) == list(range(len(seqs)))
+    assert packing.pack(none).count() == 0 and packing.pack(docs).count() >= len(TEXTS)
+
+
+@pytest.mark.parametrize("have", [{1500: 1000}, {1: 7}, {2048: 3}, {1024: 5, 1023: 5, 1: 5}, {k: (k * 7919) % 13 for k in range(1, 2049)}, {}])
+def test_plan_uses_each_piece_once(have):
+    have = {k: n for k, n in have.items() if n}
+    used, windows = defaultdict(int), defaultdict(list)
+    for length, lo, hi, start, size, sequence, offset in packing.plan(have):
+        assert 0 <= lo < hi <= have[length] and 0 <= start and start + size <= length
+        used[length] += (hi - lo) * size
+        for k in range(lo, hi):
+            windows[sequence + k - lo].append((offset, size))
+    assert used == {k: k * n for k, n in have.items()}
+    full = 0
+    for own in windows.values():
+        at = 0
+        for offset, size in sorted(own):
+            assert offset == at
+            at += size
+        full += at == 2048
+    assert len(windows) - full <= 1
+
+
+def test_quality(spark):
+    good = [(k, prose(rng.randint(20, 200)) + ".", 1) for k in range(150)]
+    bad = [(1000 + k, " ".join(w.upper() + "!!" for w in prose(rng.randint(20, 200)).split()), 0) for k in range(100)]
+    every = good + bad
+    docs = spark.createDataFrame([(i, t, 5.0) for i, t, _ in every] + [(5000, None, 0.0), (5001, "", 0.0), (None, "a b", 0.0), (1, good[1][1], 0.0)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, y) for i, _, y in every] + [(None, 1), (3, None), (9999, 1), (7, 1)], "doc_id long, quality int")
+    got = rows(quality.classify(docs, labels))
+    known = {i: y for i, _, y in every}
+    assert len(got) == len(every) + 4 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got if r["doc_id"] is not None)
+    held = [r for r in got if r["held_out"] and r["doc_id"] in known]
+    assert sum(r["predicted"] == known[r["doc_id"]] for r in held) >= 0.95 * len(held)
+    kept = quality.accepted_documents(docs, labels)
+    assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] for r in got)
+    assert quality.classify(docs.limit(0), labels).count() == 0 and {r["score"] for r in rows(quality.classify(docs, labels.limit(0)))} == {1.0}
+
+
+def test_held_out_labels_are_never_read(spark):
+    docs = spark.createDataFrame([(k, prose(30) if k % 2 else prose(30).upper()) for k in range(120)], "doc_id long, text string")
+    label = (F.col("doc_id") % 2).cast("int")
+    labels = docs.select("doc_id", label.alias("quality"))
+    turned = docs.select("doc_id", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, 1 - label).otherwise(label).alias("quality"))
+    a, b = (sorted((r["doc_id"], round(r["score"], 9)) for r in rows(quality.classify(docs, x))) for x in (labels, turned))
+    assert a == b
+
+
+def test_substring_dedup(docs, none):
+    got = rows(substring_dedup.passages(docs))
+    by = defaultdict(list)
+    for r in got:
+        by[r["doc_id"]].append(r)
+    assert {12, 13} <= set(by) and not {14, 15, 16, 6, 7, 8, 9, None} & set(by)
+    texts = dict(TEXTS)
+    for i in (12, 13):
+        (r,) = by[i]
+        part = texts[i].encode()[r["start"] : r["end"]].decode()
+        assert r["first_doc_id"] == 12 and r["kept"] == (i == 12) and len(set(part.split()) & set(PASSAGE.split())) >= 40
+    clean = {r["doc_id"]: r["text"] for r in rows(substring_dedup.without_repeats(docs)) if r["doc_id"] in (12, 13, 14)}
+    assert clean[12] == texts[12] and clean[14] == texts[14] and len(clean[13]) < len(texts[13]) - 200
+    assert substring_dedup.passages(none).count() == 0
+
+
+def test_chunks_cover_texts_and_resist_shifts():
+    data = np.frombuffer((PASSAGE + "y" + PASSAGE).encode(), np.uint8)
+    at = np.array([0, len(PASSAGE.encode()), len(data)])
+    whose, ends, digests, words = substring_dedup.chunks(data, at)
+    assert ends[whose == 0][-1] == at[1] and ends[whose == 1][-1] == at[2] - at[1] and words.sum() == 2 * len(PASSAGE.split())
+    early = (ends[whose == 0] <= 2 * (substring_dedup.LOOK_BACK + substring_dedup.QUIET)).sum()  # near the shift, cuts may differ
+    assert len(set(digests[whose == 0]) & set(digests[whose == 1])) >= (whose == 0).sum() - early - 1
