@@ -30,7 +30,7 @@ def words(c: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     """Words, soft hyphens not counting as characters."""
-    return F.size(words(F.replace(c, F.lit("­"), F.lit(""))))
+    return F.size(words(F.replace(c, F.lit("\u00ad"), F.lit(""))))
 
 
 def slug(c: Column) -> Column:
@@ -83,8 +83,8 @@ def unspaced(c: Column) -> Column:
 
 def repaired(c: Column) -> Column:
     """Extracted text made plain: no NUL, soft hyphens or private-use signs, ligatures as letters, word breaks rejoined."""
-    plain = F.regexp_replace(without_nul(c), "[­-]", "")
-    for glyph, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+    plain = F.regexp_replace(without_nul(c), "[\u00ad\ue000-\uf8ff]", "")
+    for glyph, letters in (("\ufb00", "ff"), ("\ufb01", "fi"), ("\ufb02", "fl"), ("\ufb03", "ffi"), ("\ufb04", "ffl")):
         plain = F.replace(plain, F.lit(glyph), F.lit(letters))
     return squeezed(F.regexp_replace(plain, "(\\p{Ll})-\\s+(\\p{Ll})", "$1$2"))
 
@@ -98,7 +98,7 @@ def roman(c: Column) -> Column:
 def roman_value(c: Column) -> Column:
     """The number of a roman numeral: a smaller sign before a larger one counts against it."""
     value = lambda s: F.when(s == "I", 1).when(s == "V", 5).when(s == "X", 10).when(s == "L", 50).when(s == "C", 100).otherwise(0)
-    signs = F.transform(F.split(c, "(?!^)"), value)
+    signs = F.transform(F.split(c, ""), value)
     pairs = F.arrays_zip(signs.alias("a"), F.concat(F.slice(signs, 2, F.greatest(F.size(signs) - 1, F.lit(0))), F.array(F.lit(0))).alias("b"))
     return F.aggregate(pairs, F.lit(0), lambda t, p: t + F.when(p["a"] < p["b"], -p["a"]).otherwise(p["a"]))
 
@@ -145,7 +145,7 @@ def page_number_line(c: Column) -> Column:
 def scene_break(c: Column) -> Column:
     """Two to five equal private-use ornaments, or stars."""
     bare = F.regexp_replace(c, f"{BLANK}+", "")
-    return bare.rlike("^[-*]{2,5}$") & (F.size(F.array_distinct(F.split(bare, "(?!^)"))) == 1)
+    return bare.rlike("^[\ue000-\uf8ff*]{2,5}$") & (F.size(F.array_distinct(F.split(bare, ""))) == 1)
 
 
 def html_text(c: Column) -> Column:

@@ -38,7 +38,7 @@ def test_ordinal_value(spark, text, value):
     assert one(spark, T.ordinal_value(F.col("a")), a=text) == value
 
 
-@pytest.mark.parametrize("text, n", [("  a  b­c ", 2), ("", 0), (None, 0)])
+@pytest.mark.parametrize("text, n", [("  a  b\u00adc ", 2), ("", 0), (None, 0)])
 def test_word_count(spark, text, n):
     assert one(spark, T.word_count(F.coalesce(F.col("a"), F.lit(""))), a=text) == n
 
@@ -65,9 +65,14 @@ def test_title_cased(spark, text, cased):
 
 
 def test_repaired(spark):
-    assert one(spark, T.repaired(F.col("a")), a="ofﬁce  so­ft hy- phen\x00") == "office soft hyphen"
+    assert one(spark, T.repaired(F.col("a")), a="of\ufb01ce  so\u00adft hy- phen\x00") == "office soft hyphen"
 
 
 def test_affine(spark):
     row = spark.sql("SELECT array(2.0,0.0,0.0,3.0,5.0,7.0) a, array(1.0,0.0,0.0,1.0,10.0,20.0) b").select(T.affine(F.col("a"), F.col("b")).alias("m"), T.font_size(F.col("a")).alias("f")).first()
     assert [float(x) for x in row["m"]] == [2, 0, 0, 3, 25, 67] and float(row["f"]) == 3
+
+
+@pytest.mark.parametrize("text, divider", [("* * *", True), ("\ue001\ue001", True), ("*-*", False), ("*", False)])
+def test_scene_break(spark, text, divider):
+    assert one(spark, T.scene_break(F.col("a")), a=text) == divider
