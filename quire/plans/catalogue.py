@@ -375,3 +375,75 @@ def title_keys(spark, d):
 @query("SELECT page_id, length(html) AS n, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs, contains(html, '&amp;') AS escaped FROM pages")
 def page_markup(spark, d):
     return table(spark, d, "pages").select("page_id", F.length("html").alias("n"), F.regexp_count("html", F.lit("<p[ >]")).alias("paragraphs"), F.col("html").contains("&amp;").alias("escaped"))
+
+
+@query("WITH p AS (SELECT doc_id, regexp_extract_all(text, '[^.!?]+[.!?]*\\s*|[.!?]+\\s*') AS x FROM documents), e AS (SELECT doc_id, CAST(unnest(range(len(x))) AS INTEGER) AS nth, unnest(x) AS part FROM p) SELECT doc_id, nth, CAST(sum(length(part)) OVER (PARTITION BY doc_id ORDER BY nth) - length(part) AS BIGINT) AS start, CAST(length(part) AS INTEGER) AS size FROM e")
+def sentence_spans(spark, d):
+    return reader.sentences(_docs(spark, d))
+
+
+@query("WITH p AS (SELECT doc_id, string_split(lower(text), 'tion') AS x FROM documents), e AS (SELECT doc_id, unnest(range(1, len(x))) AS i, x FROM p WHERE len(x) > 1) SELECT doc_id, CAST(i AS INTEGER) AS ordinal, right(x[i], 20) AS before FROM e")
+def phrase_occurrences(spark, d):
+    return reader.occurrences(_docs(spark, d), "tion")
+
+
+@query(f"WITH {LINES_SQL}, b AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1) // 40 AS p, line_no, line FROM l) SELECT doc_id, CAST(p AS INTEGER) AS content_page, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line_no)) AS print FROM b GROUP BY doc_id, p")
+def content_pages_nested(spark, d):
+    held = _lines(spark, d)
+    pages = blocks.content_pages(held).join(held, ["doc_id", "line_no"])
+    return blocks.nested(pages).select("doc_id", "content_page", F.size("blocks").cast("long").alias("n"), F.sha2(F.array_join("blocks", "\n"), 256).alias("print"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 100.0 ELSE greatest(coalesce(o_totalprice / 10000, 0), 12.5) END AS percent FROM orders")
+def status_percent(spark, d):
+    ready = F.when(F.col("o_orderstatus") == "F", "ready")
+    return table(spark, d, "orders").select("o_orderkey", catalog.percent(ready, F.col("o_totalprice") / 10000, F.lit(12.5)).alias("percent"))
+
+
+@query("SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders WHERE o_orderstatus = 'F' AND (o_custkey % 5 <> 3 OR o_totalprice > 200000)")
+def stale_documents(spark, d):
+    rows = table(spark, d, "orders").withColumn("status", F.when(F.col("o_orderstatus") == "F", "ready").otherwise("pending"))
+    due = rows.filter(catalog.needs_work(F.col("status"), F.col("o_custkey") % 5, 3, F.col("o_totalprice") > 200000))
+    return due.agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'renamed ' || c_mktsegment ELSE c_name END AS c_name FROM customer WHERE c_custkey % 9 <> 0")
+def library_rename_and_delete(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    changes = rows.filter("c_custkey % 4 = 0").select("c_custkey", F.concat(F.lit("renamed "), "c_mktsegment").alias("name"))
+    return catalog.deleted(catalog.renamed(rows, changes, "c_custkey", "c_name"), rows.filter("c_custkey % 9 = 0"), "c_custkey").select("c_custkey", "c_name")
+
+
+@query("WITH a AS (SELECT l_orderkey AS doc_id, l_partkey AS id FROM lineitem WHERE l_linenumber <= 2), b AS (SELECT l_orderkey AS doc_id, l_partkey AS id FROM lineitem WHERE l_linenumber >= 2) SELECT doc_id, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = b.doc_id AND a.id = b.id)) x GROUP BY doc_id")
+def chapters_with_unseen(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_partkey").alias("id"), "l_linenumber")
+    return chapters.with_unseen(rows.filter("l_linenumber <= 2").drop("l_linenumber"), rows.filter("l_linenumber >= 2").drop("l_linenumber")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_orderkey AS doc_id, l_suppkey AS seq, l_partkey AS part, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY coalesce(CASE WHEN l_linenumber % 3 <> 0 THEN l_linenumber END, 2147483647), CAST(l_quantity AS INTEGER), l_suppkey, l_partkey) AS INTEGER) AS place FROM lineitem")
+def reading_order(spark, d):
+    rows = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), F.when(F.col("l_linenumber") % 3 != 0, F.col("l_linenumber")).alias("page_index"), F.col("l_quantity").cast("int").alias("block_index"), F.struct("l_suppkey", "l_partkey").alias("seq")
+    )
+    return chapters.reading_order(rows).select("doc_id", F.col("seq.l_suppkey").alias("seq"), F.col("seq.l_partkey").alias("part"), "place")
+
+
+@query("SELECT user_id, event_id, max(CASE WHEN event_type = 'click' THEN k END) OVER (PARTITION BY user_id ORDER BY k RANGE BETWEEN 200 PRECEDING AND 1 PRECEDING) AS image_before, min(CASE WHEN event_type = 'click' THEN k END) OVER (PARTITION BY user_id ORDER BY k RANGE BETWEEN 1 FOLLOWING AND 200 FOLLOWING) AS image_after FROM (SELECT *, CAST(event_id AS INTEGER) AS k FROM events) x")
+def nearest_images(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), "event_id", F.col("event_id").cast("int").alias("page"), (F.col("event_type") == "click").alias("is_image"))
+    return images.nearest(rows, 200).select(F.col("doc_id").alias("user_id"), "event_id", "image_before", "image_after")
+
+
+@query(_LINES + "SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE regexp_matches(trim(line), '^[\"“‘]')) AS dialogue, count(*) FILTER (WHERE length(regexp_replace(line, '[^A-Z]', '', 'g')) >= 2 AND NOT regexp_matches(line, '[a-z]') AND length(regexp_replace(line, '[^\\p{L}]', '', 'g')) = length(regexp_replace(line, '[^\\p{Lu}]', '', 'g'))) AS capitals FROM l GROUP BY doc_id")
+def line_shapes(spark, d):
+    from quire.functions import predicates as P
+
+    hit = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    capitals = P.all_caps(F.col("line")) & (F.length(F.regexp_replace("line", "[^A-Z]", "")) >= 2)
+    return _lines(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"), hit(P.dialogue(F.col("line"))).alias("dialogue"), hit(capitals).alias("capitals"))
+
+
+@query("SELECT doc_id, round(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) * 1.0 / greatest(len(list_filter(regexp_split_to_array(text || ' one two', '\\s+'), lambda x: x <> '')), 1), 6) AS ratio, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) * 1.0 / greatest(len(list_filter(regexp_split_to_array(text || ' one two', '\\s+'), lambda x: x <> '')), 1) >= 0.9 AS ok FROM documents")
+def word_count_against_raw(spark, d):
+    docs = _docs(spark, d).select("doc_id", "text")
+    return quality.word_ratio(docs, docs.withColumn("text", F.concat("text", F.lit(" one two"))))
