@@ -20,7 +20,7 @@ COORDS, BANDS = 128, 32
 #: Least similarity, as two whole numbers: OVER * intersection >= LEAST * union.
 OVER, LEAST = 100, 75
 #: Sets of a bucket that are compared with each other in one task; larger buckets are dealt out as pairs of blocks.
-BLOCK = 256
+BLOCK = 1024
 
 
 def sketches(sets: list[np.ndarray], coords: int = COORDS) -> np.ndarray:
