@@ -16,4 +16,6 @@ QUERIES = {
     "op10_substring_dedup": substring_dedup.query,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL = {"op2_exact_dedup": exact_dedup.SQL}
+ORACLE_SQL = {"op2_exact_dedup": exact_dedup.SQL, "op3_minhash": minhash.SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
