@@ -31,8 +31,9 @@ def frequencies(docs: DataFrame) -> DataFrame:
 def ngrams(docs: DataFrame, n: int = 4, least: int = 2, stops: float = 0.55) -> DataFrame:
     """(phrase, n): phrases of n words that occur often enough, are 12 characters long and aren't mostly stop words."""
     held = docs.select(F.explode(F.array(tokens(F.col("text")))).alias("t"))  # a step of its own, so words are found once
-    grams = F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.slice("t", i, n))
-    each = held.filter(F.size("t") >= n).select(F.explode(grams).alias("g"))
+    shifted = [F.slice("t", k + 1, F.size("t") - n + 1).alias(f"w{k}") for k in range(n)]  # n slices for a text, not one for each place
+    grams = held.filter(F.size("t") >= n).select(F.explode(F.arrays_zip(*shifted)).alias("g"))
+    each = grams.select(F.array(*[f"g.w{k}" for k in range(n)]).alias("g"))
     share = F.size(F.filter("g", lambda w: w.isin(*STOP))) / n
     counted = each.filter(share <= stops).groupBy(F.array_join("g", " ").alias("phrase")).agg(F.count("*").alias("n"))
     return counted.filter((F.col("n") >= least) & (F.length("phrase") >= 12))
