@@ -84,11 +84,12 @@ def line_drop_trace(spark, d):
 
 
 @query(
-    _PIECES + ", g AS (SELECT source, doc_id, dense_rank() OVER (PARTITION BY source ORDER BY doc_id) AS page, piece_no, piece FROM p) "
-    "SELECT DISTINCT a.source, a.doc_id, a.piece_no, a.piece FROM g a JOIN g b ON a.source = b.source AND abs(a.page - b.page) = 1 AND length(a.piece) BETWEEN 12 AND 96 AND length(b.piece) > length(a.piece) AND contains(b.piece, a.piece)"
+    _PIECES + ", g AS (SELECT source, doc_id, dense_rank() OVER (PARTITION BY source ORDER BY doc_id) AS page, piece_no, lower(regexp_replace(piece, '[.!?]+$', '')) AS piece FROM p) "
+    "SELECT DISTINCT a.source, a.doc_id, a.piece_no, a.piece FROM g a JOIN g b ON a.source = b.source AND abs(a.page - b.page) = 1 AND length(a.piece) BETWEEN 8 AND 96 AND length(b.piece) > length(a.piece) AND contains(b.piece, a.piece)"
 )
 def adjacent_page_echo(spark, d):
-    return L.echoes(L.pieces(_docs(spark, d)))
+    bare = F.lower(F.regexp_replace("piece", "[.!?]+$", ""))
+    return L.echoes(L.pieces(_docs(spark, d)).withColumn("piece", bare), low=8)
 
 
 @query(_LINES + "SELECT doc_id, count(*) AS n, CAST(list_sort(list(length(line)))[count(*) // 2 + 1] AS INTEGER) AS median FROM l GROUP BY doc_id")
@@ -239,9 +240,9 @@ def word_frequencies(spark, d):
     return counts.frequencies(_docs(spark, d))
 
 
-@query(_LINES + f"SELECT doc_id, line_no, CAST(n AS BIGINT) AS n FROM (SELECT doc_id, line_no, sum(CASE WHEN {_HEAD} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS n FROM l) x WHERE n > 3")
+@query(_LINES + f"SELECT doc_id, line_no, CAST(n AS BIGINT) AS n FROM (SELECT doc_id, line_no, sum(CASE WHEN {_HEAD} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS n FROM l) x WHERE n > 0")
 def sliding_heading_density(spark, d):
-    return quality.density(_lines(spark, d).withColumn("h", _heading()), "doc_id", "line_no", "h").select("doc_id", "line_no", "n")
+    return quality.density(_lines(spark, d).withColumn("h", _heading()), "doc_id", "line_no", "h", most=0).select("doc_id", "line_no", "n")
 
 
 @query(
@@ -372,7 +373,7 @@ def title_keys(spark, d):
     return _docs(spark, d).select("doc_id", T.title_key(T.trimmed(F.left("text", F.lit(60)))).alias("title_key"))
 
 
-@query("SELECT page_id, length(html) AS n, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs, contains(html, '&amp;') AS escaped FROM pages")
+@query("SELECT page_id, CAST(length(html) AS INTEGER) AS n, CAST(len(regexp_extract_all(html, '<p[ >]')) AS INTEGER) AS paragraphs, contains(html, '&amp;') AS escaped FROM pages")
 def page_markup(spark, d):
     return table(spark, d, "pages").select("page_id", F.length("html").alias("n"), F.regexp_count("html", F.lit("<p[ >]")).alias("paragraphs"), F.col("html").contains("&amp;").alias("escaped"))
 
