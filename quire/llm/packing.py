@@ -50,26 +50,27 @@ class Words(dict):
         self.first, self.second = array("q"), array("q")
         self.stems, self.new = {b"": 0}, []
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
-
-    def stem(self, word: bytes) -> int:
-        at = self.stems.get(word)
-        if at is None:
-            at = self.stems[word] = len(self.stems)
-            self.new.append(word.decode())
-        return at
+        self.start, self.size = np.zeros(1, np.int32), np.zeros(1, np.int32)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = at = len(self.first)
-        stem, marks = word, b""
+        stem, second, stems = word, 0, self.stems
         if b"<|" not in word:
             stem = word.lower()
             if stem[-1] in MARKS:
                 bare = stem.rstrip(MARKS)
                 if bare and (97 <= bare[-1] <= 122 or bare[-1] > 127 and settled_letter(bare)):
                     stem, marks = bare, stem[len(bare) :]
-        self.first.append(self.stem(stem))
-        self.second.append(self.stem(marks))
+                    second = stems.get(marks)
+                    if second is None:
+                        second = stems[marks] = len(stems)
+                        self.new.append(marks.decode())
+        first = stems.get(stem)
+        if first is None:
+            first = stems[stem] = len(stems)
+            self.new.append(stem.decode())
+        self.first.append(first)
+        self.second.append(second)
         return at
 
     def settle(self) -> None:
@@ -77,12 +78,12 @@ class Words(dict):
         if not self.new:
             return
         found = [e.ids for e in self.library.encode_batch(self.new, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
+        size = np.fromiter(map(len, found), np.int32, len(found))
         ids = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
         if self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.start = np.concatenate([self.start, self.used + np.cumsum(size) - size])
+        self.start = np.concatenate([self.start, (self.used + np.cumsum(size) - size).astype(np.int32)])
         self.size = np.concatenate([self.size, size])
         self.used += len(ids)
         self.new = []
@@ -95,15 +96,15 @@ class Words(dict):
             self.clear()
             self.first, self.second = array("q"), array("q")
         words = [t.split() for t in texts]
-        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words)))
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int32, sum(map(len, words)))
         self.settle()
-        stems = np.empty((len(numbers), 2), np.int64)
-        stems[:, 0], stems[:, 1] = (np.array(x, np.int64)[numbers] for x in (self.first, self.second))
+        stems = np.empty((len(numbers), 2), np.int32)
+        stems[:, 0], stems[:, 1] = (np.array(x, np.int32)[numbers] for x in (self.first, self.second))
+        stems = stems.reshape(-1)
         sizes = self.size[stems]
-        own = np.concatenate([[0], np.cumsum(sizes.sum(axis=1))])
-        stems, sizes = stems[sizes > 0], sizes[sizes > 0]
-        upto = np.cumsum(sizes) - sizes
-        flat = self.flat[np.repeat(self.start[stems] - upto, sizes) + np.arange(own[-1])]
+        upto = np.cumsum(sizes, dtype=np.int32) - sizes
+        own = np.append(upto[::2], upto[-1] + sizes[-1] if len(sizes) else 0)
+        flat = self.flat[np.repeat(self.start[stems] - upto, sizes) + np.arange(own[-1], dtype=np.int32)]
         return np.split(flat, own[np.cumsum([len(ws) for ws in words])[:-1]])
 
 
