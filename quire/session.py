@@ -12,9 +12,15 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Rows of an Arrow batch, unless the session says: whole texts are long, and a batch is held by the JVM and by Python.
+BATCH_ROWS = 1000
+
 
 def ship(spark: SparkSession) -> None:
-    """Give the package to the Python workers of this application once, through Spark's own file server."""
+    """Give the package to the Python workers of this application once, through Spark's own file server, and keep Arrow
+    batches small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
