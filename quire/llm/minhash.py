@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.components import components
 from quire.llm.kernels import mix, shingle_sets
-from quire.llm.shared import stored, table
+from quire.llm.shared import keep_only, stored, table
 
 #: Coordinates of a sketch, in BANDS bands. Two sets of similarity s share no band with a probability of about
 #: (1 - s ** (COORDS / BANDS)) ** BANDS: 5e-6 at s = 0.75.
@@ -70,6 +70,7 @@ SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_id", pa.bin
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keep_only("sets")
     for batch in batches:
         ids = batch.column(0)
         for i, sets in shingle_sets(batch.column(1)):
@@ -83,6 +84,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keep_only("sets")
     for batch in batches:
         for _, sets in shingle_sets(batch.column(1)):
             yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["set_id", "elements"])
@@ -104,6 +106,7 @@ def _elements(column: pa.Array) -> list[np.ndarray]:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keep_only("sets")
     for batch in batches:
         mask = pa.array([_similar(x, y) for x, y in zip(_elements(batch.column(2)), _elements(batch.column(3)))], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])

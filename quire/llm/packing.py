@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import bisect
-import functools
 import os
 import re
 import zlib
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.shared import stored, table
+from quire.llm.shared import keep_only, stored, table
 
 WINDOW, END = 2048, 1
 #: Bytes of text whose words are held at once, words and stems a worker keeps, and lengths from which triples are formed.
@@ -114,12 +113,6 @@ def settled_letter(word: bytes) -> bool:
     return last < "\u0530" and last.isalpha()
 
 
-@functools.lru_cache(maxsize=1)
-def words(text: str) -> Words:
-    """One for each worker, kept over its tasks."""
-    return Words(text)
-
-
 def texts_ids(known: Words, texts: list[bytes]) -> Iterator[np.ndarray]:
     """Ids of each text in turn; texts are joined to segments, and a long one is cut at white space."""
     held: list[bytes] = []
@@ -157,7 +150,7 @@ def windows_and_rests(docs: DataFrame, tokenizer: str, window: int) -> DataFrame
         held = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, part, count = words(held.value), TaskContext.get().partitionId(), Counter()
+        known, part, count = keep_only(f"words of {tokenizer}", lambda: Words(held.value)), TaskContext.get().partitionId(), Counter()
         kind = "<u4" if known.wide else "<u2"
         for batch in batches:
             texts = [(x.as_py() or "").encode() for x in batch.column(1)]

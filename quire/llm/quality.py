@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.kernels import IS_SPACE, SEGMENT, groups, mix, strings, word_hashes
-from quire.llm.shared import fold, stored, table
+from quire.llm.shared import fold, keep_only, stored, table
 
 #: A document is accepted from this score on.
 ACCEPT = 0.3
@@ -98,6 +98,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, x): the statistics of every whole text; null counts as empty."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("statistics")
         for batch in batches:
             data, at = strings(batch.column(1))
             rows = [statistics(data, own) for _, own in groups(data, at, SEGMENT)]
@@ -190,6 +191,7 @@ def accepted_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id
     at = docs.columns.index(text_col)
 
     def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("statistics")
         for batch in batches:
             data, offsets = strings(batch.column(at))
             rows = [statistics(data, own) for _, own in groups(data, offsets, SEGMENT)]

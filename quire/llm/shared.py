@@ -40,6 +40,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_kept: dict[str, object] = {}
+
+
+def keep_only(key: str, make=None):
+    """A worker's one cache that outlives a task: asking for another drops it, so operators that take turns in a worker
+    don't add up there. Without make, nothing is kept."""
+    if key not in _kept:
+        _kept.clear()
+        if make:
+            _kept[key] = make()
+    return _kept.get(key)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; 0 marks the rows that are held out of every fit."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm.shared import table
+from quire.llm.shared import keep_only, table
 from quire.session import ship
 
 LIMIT = 512
@@ -227,12 +227,6 @@ class Counter:
         return sum(map(self.plain, parts)) + len(parts) - 1
 
 
-@functools.lru_cache(maxsize=2)
-def counter(text: str) -> Counter:
-    """One for each worker, kept over its tasks."""
-    return Counter(text)
-
-
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit), one row per input row.
 
@@ -249,7 +243,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         held = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = counter(held.value)
+        of = keep_only(f"counter of {tokenizer}", lambda: Counter(held.value))
         for batch in batches:
             sizes, counts = [], []
             for text in batch.column(1):
