@@ -22,7 +22,7 @@ from quire.llm.shared import keep_only, stored, table
 
 WINDOW, END = 2048, 1
 #: Bytes of text whose words are held at once, words and stems a worker keeps, and lengths from which triples are formed.
-SEGMENT, WORDS, STEMS, TRIPLES = 1 << 21, 400_000, 900_000, 48
+SEGMENT, WORDS, STEMS, TRIPLES = 1 << 21, 250_000, 600_000, 48
 MARKS = b".,!?;:"
 _CUT = re.compile(rb"[\x20\x09-\x0D]")
 

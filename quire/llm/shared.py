@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -45,11 +46,15 @@ _kept: dict[str, object] = {}
 
 def keep_only(key: str, make=None):
     """A worker's one cache that outlives a task: asking for another drops it, so operators that take turns in a worker
-    don't add up there. Without make, nothing is kept."""
+    don't add up there. Without make, only the others are dropped."""
     if key not in _kept:
-        _kept.clear()
-        if make:
-            _kept[key] = make()
+        if _kept:
+            _kept.clear()
+            try:  # give what was freed back to the machine, where the C library can
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):
+                pass
+        _kept[key] = make() if make else None
     return _kept.get(key)
 
 
