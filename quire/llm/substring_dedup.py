@@ -97,9 +97,10 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     """(doc_id, start, end, words, first_doc_id, kept): a row for each repeated passage in each document that has it.
 
     A chunk is repeated if its digest occurs in documents of different ids; repeated chunks one after the other, with at
-    least min_words words in all, are a passage. start and end are bytes of the UTF-8 text, end exclusive. first_doc_id is
-    the smallest id that has a chunk of it, and kept says that this document has the first occurrence of all its chunks, so
-    the passage stays here and goes elsewhere. Repeats within one document alone, null, empty and short texts give no row.
+    least min_words words in all, are a passage; it ends where chunks that first occur here meet such that first occur
+    elsewhere. start and end are bytes of the UTF-8 text, end exclusive. first_doc_id is the smallest id that has a chunk of
+    it, and kept says that this document has the first occurrence of all its chunks, so the passage stays here and goes
+    elsewhere; without kept, none of its chunks first occurs here. Repeats within one document alone, null, empty and short texts give no row.
     Rows repeated with one id count as one document, with a row each. Null ids take no part. Empty table: no rows.
     """
     own = docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text").filter("doc_id IS NOT NULL")
@@ -107,18 +108,13 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     ends = F.arrays_zip("digests", "ends", "words")
     each = cut.select("doc_id", F.explode("digests").alias("digest"))
     repeated = stored(each.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("digest", "first"), "repeated")
-    spread = cut.select("row", F.posexplode(ends).alias("nth", "c"), "ends").select(
-        "row", "nth", F.col("c.digests").alias("digest"), F.when(F.col("nth") > 0, F.get("ends", F.col("nth") - 1)).otherwise(0).alias("start"), F.col("c.ends").alias("end"), F.col("c.words").alias("words")
-    )
-    met = spread.join(repeated, "digest").drop("digest")
-    run = met.withColumn("run", F.col("nth") - F.row_number().over(W.partitionBy("row").orderBy("nth")))
-    runs = run.groupBy("row", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("first").alias("first_doc_id"), F.max("first").alias("last_first")
-    )
-    long = runs.filter(F.col("words") >= min_words)
-    return long.join(cut.select("row", "doc_id"), "row").select(
-        "doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "words", "first_doc_id", (F.col("last_first") == F.col("doc_id")).alias("kept")
+    spread = cut.select("row", "doc_id", F.posexplode(ends).alias("nth", "c"), "ends").select(
+        "row", "doc_id", "nth", F.col("c.digests").alias("digest"), F.when(F.col("nth") > 0, F.get("ends", F.col("nth") - 1)).otherwise(0).alias("start"), F.col("c.ends").alias("end"), F.col("c.words").alias("words")
     )
+    met = spread.join(repeated, "digest").drop("digest").withColumn("kept", F.col("first") == F.col("doc_id"))
+    run = met.withColumn("run", F.col("nth") - F.row_number().over(W.partitionBy("row", "kept").orderBy("nth")))
+    runs = run.groupBy("row", "kept", "run").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("first").alias("first_doc_id"))
+    return runs.filter(F.col("words") >= min_words).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "words", "first_doc_id", "kept")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -346,6 +346,16 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.passages(none).count() == 0
 
 
+def test_passage_from_elsewhere_next_to_one_that_is_first_here(spark):
+    p, q = prose(80), prose(80)
+    texts = {1: prose(30) + " " + p, 2: p + " " + q, 3: p + " " + q + " " + prose(30)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["start"], r["end"], r["kept"]) for r in rows(substring_dedup.passages(docs)) if r["doc_id"] == 2)
+    assert [r[3] for r in got] == [False, True] and got[0][2] <= got[1][1] and abs(got[0][2] - len(p)) < 150
+    clean = {r["doc_id"]: r["text"] for r in rows(substring_dedup.without_repeats(docs))}
+    assert clean[1] == texts[1] and len(clean[2]) < len(q) + 200 and clean[2].endswith(q[150:]) and len(clean[3]) < 600
+
+
 def test_chunks_cover_texts_and_resist_shifts():
     data = np.frombuffer((PASSAGE + "y" + PASSAGE).encode(), np.uint8)
     at = np.array([0, len(PASSAGE.encode()), len(data)])
