@@ -12,10 +12,11 @@ from quire.llm.shared import stored, table
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: A host with one of these terms is a rejected example for the models, as is a URL that a rule blocks.
 SEED_TERMS = ("casino", "spam", "adult", "ads-", "pills", "bets", "porn", "viagra", "torrent")
-#: Characters of a window: three of context and the one predicted. The alphabet has 32 signs (26 letters, 0 for every
-#: digit, four marks and the edge), so the model has at most 32 ** 4 = 1,048,576 rows whatever the input; it is broadcast.
-ORDER, SIGNS = 4, 32
-EDGE = "^"
+#: Characters of a window: seven of context and the one predicted. Signs are the characters as they are, so the model grows
+#: with the URLs and is joined by shuffle.
+ORDER = 8
+#: Stands before and after a URL; a control character, which no valid URL has.
+EDGE = "\x02"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -36,35 +37,35 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def windows(url: Column) -> Column:
-    """The windows of ORDER signs that end at each sign of a URL and at its end edge."""
-    text = F.regexp_replace(F.lower(F.coalesce(url, F.lit(""))), "[0-9]", "0")
-    text = F.regexp_replace(text, r"[^a-z0./-]", "?")
-    return F.regexp_extract_all(F.concat(F.lit(EDGE * (ORDER - 1)), text, F.lit(EDGE)), F.lit(f"(?s)(?=(.{{{ORDER}}}))"), 1)
+    """The windows of ORDER signs that end at each sign of a URL and at its end edge; scheme and host are lower-cased."""
+    url = F.coalesce(url, F.lit(""))
+    head = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    text = F.concat(F.lit(EDGE * (ORDER - 1)), F.lower(head), F.substring(url, F.length(head) + 1, F.length(url)), F.lit(EDGE))
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{ORDER}}}))."), 1)  # the last dot steps over whole code points
 
 
-def ratios(grams: DataFrame) -> DataFrame:
+def ratios(grams: DataFrame, order: int = 4, signs: int = 32) -> DataFrame:
     """(gram, llr): log of P(sign | context) under accepted URLs over the same under rejected ones, in millionths.
 
     Witten-Bell smoothing: a context h with n(h) signs, T(h) of them distinct, gives (n(hc) + T(h) P'(c)) / (n(h) + T(h)),
     where P' is that of the context shortened by one; a context never seen gives P' itself. The shortest, without context,
-    is smoothed by one for each of the signs. grams: (gram, accepted, rejected) for every window of the corpus.
+    is smoothed by one for each of the signs. grams: (gram, accepted, rejected) for every window of order signs of the corpus.
+
+    Each length is joined to the one before it by its last signs, so a key has at most as many rows as there are signs.
     """
-    level = grams.select("gram", F.substring("gram", ORDER, 1).alias("g1"), *[F.expr(f"right(gram, {k})").alias(f"g{k}") for k in range(2, ORDER + 1)])
-    for k in range(1, ORDER + 1):
-        counts = grams.groupBy(F.expr(f"right(gram, {k})").alias(f"g{k}")).agg(*[F.sum(c).alias(c) for c in ("accepted", "rejected")])
-        near = W.partitionBy(F.expr(f"substring(g{k}, 1, {k - 1})"))
-        counts = counts.select(
-            f"g{k}", *[F.struct(F.col(c).alias("n"), F.sum(c).over(near).alias("all"), F.sum(F.when(F.col(c) > 0, 1).otherwise(0)).over(near).alias("kinds")).alias(f"{c}{k}") for c in ("accepted", "rejected")]
-        )
-        level = level.join(counts, f"g{k}")
-    logs = []
-    for c in ("accepted", "rejected"):
-        p = (F.col(f"{c}1.n") + 1) / (F.col(f"{c}1.all") + SIGNS)
-        for k in range(2, ORDER + 1):
-            at = F.col(f"{c}{k}")
-            p = F.when(at["all"] > 0, (at["n"] + at["kinds"] * p) / (at["all"] + at["kinds"])).otherwise(p)
-        logs.append(F.log(p))
-    return level.select("gram", F.round((logs[0] - logs[1]) * 1e6).cast("long").alias("llr"))
+    labels, level = ("accepted", "rejected"), None
+    for k in range(1, order + 1):
+        near = W.partitionBy(F.expr(f"left(gram, {k - 1})"))
+        counts = grams.groupBy(F.expr(f"right(gram, {k})").alias("gram")).agg(*[F.sum(c).alias(c) for c in labels])
+        counts = counts.select("gram", *[x for c in labels for x in (F.col(c), F.sum(c).over(near).alias(f"{c}_all"), F.sum(F.when(F.col(c) > 0, 1).otherwise(0)).over(near).alias(f"{c}_kinds"))])
+        if level is None:
+            level = counts.select("gram", *[((F.col(c) + 1) / (F.col(f"{c}_all") + signs)).alias(f"{c}_p") for c in labels])
+            continue
+        shorter = level.select(F.col("gram").alias("last"), *[f"{c}_p" for c in labels])
+        both = counts.withColumn("last", F.expr(f"right(gram, {k - 1})")).join(shorter, "last")
+        p = lambda c: F.when(F.col(f"{c}_all") > 0, (F.col(c) + F.col(f"{c}_kinds") * F.col(f"{c}_p")) / (F.col(f"{c}_all") + F.col(f"{c}_kinds"))).otherwise(F.col(f"{c}_p")).alias(f"{c}_p")
+        level = both.select("gram", *[p(c) for c in labels])
+    return level.select("gram", F.round((F.log("accepted_p") - F.log("rejected_p")) * 1e6).cast("long").alias("llr"))
 
 
 def calibrated(scored: DataFrame) -> float:
@@ -74,7 +75,7 @@ def calibrated(scored: DataFrame) -> float:
     one. Without held-out URLs of both kinds: 0.
     """
     bins = scored.filter("held").groupBy(F.floor(F.col("score") * 100).alias("b")).agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("r"))
-    # the logs of P are at least those of 1 / (all + SIGNS), so the grid has a few thousand bins at most
+    # the logs of P are at least ORDER times those of 1 / (all + signs), so the grid has some ten thousands of bins at most
     upto, every = W.orderBy("b").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
     found = (
         bins.select("b", F.coalesce(F.sum("r").over(upto), F.lit(0)).alias("below"), F.sum("a").over(every).alias("as"), F.sum("r").over(every).alias("rs"), F.coalesce(F.sum("a").over(upto), F.lit(0)).alias("lost"))
@@ -99,21 +100,22 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     base = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     base = base.select("*", rule.alias("rule"), verdict.alias("said"), (F.crc32(F.coalesce("url", F.lit("")).cast("binary")) % 5 == 0).alias("held"))
+    base = base.withColumn("row", F.monotonically_increasing_id())
     bad = F.lit(False)
     for term in seed_terms:
         bad = bad | F.col("host").contains(term)
     label = F.when(bad | F.coalesce(F.col("said") == "block", F.lit(False)), 0).otherwise(1)
-    spread = base.select("page_id", "url", "held", label.alias("label"), F.explode(windows(F.col("url"))).alias("gram"))
+    urls = stored(base.select("row", "page_id", "url", "held", label.alias("label")), "urls")
+    spread = urls.select("row", "held", "label", F.explode(windows(F.col("url"))).alias("gram"))
     learns = ~F.col("held")
     grams = stored(spread.groupBy("gram").agg(*[F.sum(F.when(learns & (F.col("label") == v), 1).otherwise(0)).alias(c) for c, v in (("accepted", 1), ("rejected", 0))]), "grams")
-    model = F.broadcast(stored(ratios(grams), "ratios"))
-    first = F.sum(F.when(F.col("gram").startswith(EDGE * (ORDER - 1)), 1).otherwise(0))
-    scored = stored(
-        spread.join(model, "gram").groupBy("page_id", "url").agg((F.sum("llr") / F.count("*") / 1e6).alias("score"), first.alias("times"), F.first("held").alias("held"), F.first("label").alias("label")), "scores"
-    )
+    signs = grams.select(F.expr("right(gram, 1)")).distinct().count()
+    model = stored(ratios(grams, ORDER, max(signs, 1)), "ratios")
+    means = spread.select("row", "gram").join(model, "gram").groupBy("row").agg((F.sum("llr") / F.count("*") / 1e6).alias("score"))
+    scored = stored(urls.join(means, "row").select("page_id", "url", "held", "label", "score"), "scores")
     least = calibrated(scored)
     host, path = host_and_path(F.col("url"))
-    out = scored.select("page_id", host.alias("host"), path.alias("path"), "score", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_"))
+    out = scored.select("page_id", host.alias("host"), path.alias("path"), "score")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") >= least, "allow").otherwise("block")).alias("verdict"), "score")
 

@@ -127,6 +127,19 @@ def test_url_filter(spark):
     assert len(twice) == 2 * len(urls)
 
 
+@pytest.mark.parametrize("good, bad", [("/item/1111", "/item/9999"), ("/дом", "/лес"), ("/pabcdep/////qabcdeq/////", "/pabcdeq/////qabcdep/////")])
+def test_url_models_tell_digits_letters_and_long_contexts_apart(spark, good, bad):
+    urls = [f"http://{'x' * (k % 4)}{host}.net{path}" for k in range(40) for host, path in ((f"a{k}", good), (f"spam{k}", bad))] + ["http://b.net" + good, "http://b.net" + bad]
+    got = {r["page_id"]: r["score"] for r in rows(url_filter.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")))}
+    assert got[80] > got[81] + 0.01
+
+
+def test_url_windows_keep_whole_characters(spark):
+    got = spark.createDataFrame([("HTTP://A/Bß😀7",)], "url string").select(url_filter.windows(F.col("url")).alias("w")).first()["w"]
+    text = url_filter.EDGE * 7 + "http://a/Bß😀7" + url_filter.EDGE
+    assert got == [text[i : i + 8] for i in range(len(text) - 7)]
+
+
 def test_url_models_follow_the_definition(spark):
     grams = [("^^^a", 3, 0), ("^^ab", 2, 1), ("^^ac", 1, 0), ("^abb", 1, 1)]
     got = {r["gram"]: r["llr"] for r in rows(url_filter.ratios(spark.createDataFrame(grams, "gram string, accepted long, rejected long")))}
