@@ -1,4 +1,4 @@
-"""Substring dedup: content-defined chunks by a gear rolling hash, deduplicated by digest, joined to repeated passages."""
+"""Substring dedup: content-defined chunks by a gear rolling hash, windows of them that repeat as a whole, joined to passages."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.kernels import IS_SPACE, groups, mix, strings
@@ -16,7 +16,7 @@ from quire.llm.shared import stored, table
 
 #: Bytes the gear hash looks back, mean distance of its cuts, and bytes without a cut that a cut needs before it.
 LOOK_BACK, MEAN, QUIET = 16, 24, 6
-#: Words of a run of repeated chunks from which on it is a repeated passage. A passage loses a part of a chunk at either end.
+#: Words of a window of chunks that must repeat as a whole, and of a repeated passage. A passage loses a part of a chunk at either end.
 MIN_WORDS = 14
 
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -35,12 +35,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, end, digest, words) of every chunk of the texts data[at[i]:at[i+1]]; ends are bytes from the text's start.
+    """windowed() without the windows."""
+    return windowed(data, at, 0)[:4]
+
+
+def windowed(data: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """(text, end, digest, words, window, span) of every chunk of the texts data[at[i]:at[i+1]]; ends are bytes from the text's start.
 
     The gear hash of a place is the sum of a random value of each of the last LOOK_BACK bytes, doubled for each byte since:
     it depends on these bytes alone, so the same passage is cut alike wherever it stands. A place whose hash has its lead
     bits at zero is a cut, unless another such place lies less than QUIET bytes before it. No chunk is cut by length.
-    words counts the words that begin in the chunk.
+    words counts the words that begin in the chunk. The window of a chunk is the fewest chunks from it on that hold least
+    words, by their own bytes alone: a part of a word that they start with counts as one. window digests all its bytes and
+    span counts its chunks, 0 where the text ends before.
     """
     n, part = len(at) - 1, data[at[0] : at[-1]]
     own = (at - at[0]).astype(np.int64)
@@ -61,60 +68,92 @@ def chunks(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     ends = np.searchsorted(place, cut) + 1  # place is increasing
     ends = np.unique(np.concatenate([ends, own[1:][sizes > 0]]))
     if not len(ends):
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return (np.zeros(0, np.int64),) * 6
     starts = np.concatenate([[0], ends[:-1]])
     power, inverse = _powers(len(part) + 1)
     sums = np.zeros(len(part) + 1, np.uint64)
     np.cumsum(_SIGN[part] * power[: len(part)], out=sums[1:])
-    digest = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    hashed = lambda upto: mix((sums[upto] - sums[starts]) * inverse[starts] + (upto - starts).astype(np.uint64)).view(np.int64)
     inside = ~IS_SPACE[part]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     heads = own[:-1][sizes > 0]
     first[heads] = inside[heads]
     upto = np.concatenate([[0], np.cumsum(first)])
-    whose = text[starts]
-    return whose, ends - own[whose], digest.view(np.int64), upto[ends] - upto[starts]
+    whose, k = text[starts], np.arange(len(ends))
+    last = np.maximum(k, np.searchsorted(upto[ends], upto[starts + 1] + least - inside[starts]))
+    whole = (last < len(ends)) & (whose[np.minimum(last, len(ends) - 1)] == whose)
+    return whose, ends - own[whose], hashed(ends), upto[ends] - upto[starts], hashed(ends[np.where(whole, last, k)]), np.where(whole, last - k + 1, 0)
 
 
-FIELDS = "row long, doc_id long, digests array<long>, ends array<int>, words array<int>"
+FIELDS = "row long, doc_id long, digests array<long>, spans array<int>, ends array<int>, words array<int>"
+FOUND = "doc_id long, start long, end long, words long, first_doc_id long, kept boolean"
 
 
-def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunk(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
         data, at = strings(batch.column(1))
         for i, own in groups(data, at):
-            whose, ends, digests, words = chunks(data, own)
+            whose, ends, _, words, windows, spans = windowed(data, own, least)
             n = len(own) - 1
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(whose, minlength=n))]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (digests, ends.astype(np.int32), words.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), batch.column(0).slice(i, n), *lists], names=["row", "doc_id", "digests", "ends", "words"])
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (windows, spans.astype(np.int32), ends.astype(np.int32), words.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), batch.column(0).slice(i, n), *lists], names=["row", "doc_id", "digests", "spans", "ends", "words"])
             row += n
 
 
+def _runs(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """Passages of texts (doc_id, spans, ends, words, met), where met has the place and first document of repeated windows."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        doc, spans, ends, words = np.asarray(batch.column(0)), *(np.asarray(batch.column(i).flatten()) for i in (1, 2, 3))
+        sizes, found = (np.asarray(pc.list_value_length(batch.column(i))) for i in (2, 4))
+        base, met = np.concatenate([[0], np.cumsum(sizes)]), batch.column(4).flatten()
+        text = np.repeat(np.arange(len(doc)), sizes)
+        first = np.asarray(met.field("first"))
+        at = np.repeat(base[:-1], found) + np.asarray(met.field("nth"))
+        here = first == np.repeat(doc, found)
+        covered = []
+        for which in (here, ~here):
+            a = at[which]
+            covered.append(np.cumsum(np.bincount(a, minlength=len(text) + 1) - np.bincount(a + spans[a], minlength=len(text) + 1))[:-1] > 0)
+        state = np.where(covered[1], 2, np.where(covered[0], 1, 0))
+        heads = np.flatnonzero(np.concatenate([[True], (state[1:] != state[:-1]) | (text[1:] != text[:-1])]))
+        tails = np.append(heads[1:], len(text))
+        upto = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+        run = np.searchsorted(heads, np.arange(len(text)), side="right") - 1
+        low = np.full(len(heads), np.iinfo(np.int64).max)
+        far = ~here
+        np.minimum.at(low, run[at[far]], first[far])
+        own = state[heads] == 1
+        low = np.where(own, doc[text[heads]], low)
+        good = np.flatnonzero((state[heads] > 0) & (upto[tails] - upto[heads] >= min_words))
+        h, t = heads[good], tails[good]
+        start = np.where(h > base[text[h]], ends[np.maximum(h - 1, 0)], 0)
+        columns = [doc[text[h]], start.astype(np.int64), ends[t - 1].astype(np.int64), upto[t] - upto[h], low[good], own[good]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["doc_id", "start", "end", "words", "first_doc_id", "kept"])
+
+
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, start, end, words, first_doc_id, kept): a row for each repeated passage in each document that has it.
 
-    A chunk is repeated if its digest occurs in documents of different ids; repeated chunks one after the other, with at
-    least min_words words in all, are a passage; it ends where chunks that first occur here meet such that first occur
-    elsewhere. start and end are bytes of the UTF-8 text, end exclusive. first_doc_id is the smallest id that has a chunk of
-    it, and kept says that this document has the first occurrence of all its chunks, so the passage stays here and goes
-    elsewhere; without kept, none of its chunks first occurs here. Repeats within one document alone, null, empty and short texts give no row.
+    A window is the fewest chunks one after the other that hold min_words words. It is repeated if the digest of all its
+    bytes occurs in documents of different ids, so common phrases that only stand side by side here make no passage. Chunks
+    of repeated windows one after the other, with at least min_words words in all, are a passage; it ends where chunks of
+    windows that first occur elsewhere meet chunks whose windows all first occur here. start and end are bytes of the UTF-8
+    text, end exclusive. first_doc_id is the smallest id that has a window of it, and kept says that this document has the
+    first occurrence of all its windows, so the passage stays here and goes elsewhere; without kept, each of its chunks is in
+    a window that first occurs elsewhere. Repeats within one document alone, null, empty and short texts give no row.
     Rows repeated with one id count as one document, with a row each. Null ids take no part. Empty table: no rows.
     """
     own = docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text").filter("doc_id IS NOT NULL")
-    cut = stored(own.mapInArrow(_chunk, FIELDS), "chunks")
-    ends = F.arrays_zip("digests", "ends", "words")
-    each = cut.select("doc_id", F.explode("digests").alias("digest"))
-    repeated = stored(each.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("digest", "first"), "repeated")
-    spread = cut.select("row", "doc_id", F.posexplode(ends).alias("nth", "c"), "ends").select(
-        "row", "doc_id", "nth", F.col("c.digests").alias("digest"), F.when(F.col("nth") > 0, F.get("ends", F.col("nth") - 1)).otherwise(0).alias("start"), F.col("c.ends").alias("end"), F.col("c.words").alias("words")
-    )
-    met = spread.join(repeated, "digest").drop("digest").withColumn("kept", F.col("first") == F.col("doc_id"))
-    run = met.withColumn("run", F.col("nth") - F.row_number().over(W.partitionBy("row", "kept").orderBy("nth")))
-    runs = run.groupBy("row", "kept", "run").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.min("first").alias("first_doc_id"))
-    return runs.filter(F.col("words") >= min_words).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "words", "first_doc_id", "kept")
+    cut = stored(own.mapInArrow(lambda batches: _chunk(batches, min_words), FIELDS), "chunks")
+    windows = cut.select("row", "doc_id", F.posexplode(F.arrays_zip("digests", "spans")).alias("nth", "c")).filter("c.spans > 0").select("row", "doc_id", "nth", F.col("c.digests").alias("digest"))
+    repeated = stored(windows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("digest", "first"), "repeated")
+    met = windows.select("row", "nth", "digest").join(repeated, "digest").groupBy("row").agg(F.collect_list(F.struct("nth", "first")).alias("met"))
+    return cut.drop("digests").join(met, "row").select("doc_id", "spans", "ends", "words", "met").mapInArrow(lambda batches: _runs(batches, min_words), FOUND)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -369,6 +369,20 @@ def test_passage_from_elsewhere_next_to_one_that_is_first_here(spark):
     assert clean[1] == texts[1] and len(clean[2]) < len(q) + 200 and clean[2].endswith(q[150:]) and len(clean[3]) < 600
 
 
+def test_phrases_from_many_documents_make_no_passage(spark):
+    texts, pieces = {}, []
+    for i in range(60):
+        texts[i] = prose(60)
+        raw = texts[i].encode()
+        ends = substring_dedup.chunks(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[1]
+        long = [raw[a:b] for a, b in zip(ends[:-2], ends[1:-1]) if 30 <= b - a < 60]
+        pieces += long[:1]
+    texts[100] = b"".join(pieces).decode()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert len(pieces) > 20 and substring_dedup.passages(docs).count() == 0
+    assert {r["doc_id"]: r["text"] for r in rows(substring_dedup.without_repeats(docs))} == texts
+
+
 def test_chunks_cover_texts_and_resist_shifts():
     data = np.frombuffer((PASSAGE + "y" + PASSAGE).encode(), np.uint8)
     at = np.array([0, len(PASSAGE.encode()), len(data)])
