@@ -28,13 +28,20 @@ def frequencies(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def ngrams(docs: DataFrame, n: int = 4, least: int = 2, stops: float = 0.55) -> DataFrame:
-    """(phrase, n): phrases of n words that occur often enough, are 12 characters long and aren't mostly stop words."""
-    held = docs.select(F.explode(F.array(tokens(F.col("text")))).alias("t"))  # a step of its own, so words are found once
-    shifted = [F.slice("t", k + 1, F.size("t") - n + 1).alias(f"w{k}") for k in range(n)]  # n slices for a text, not one for each place
-    grams = held.filter(F.size("t") >= n).select(F.explode(F.arrays_zip(*shifted)).alias("g"))
-    each = grams.select(F.array(*[f"g.w{k}" for k in range(n)]).alias("g"))
-    share = F.size(F.filter("g", lambda w: w.isin(*STOP))) / n
+def words_and_numbers(c: Column) -> Column:
+    """Lower-case words of ASCII letters, and runs of digits."""
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z]+|[0-9]+"), 0)
+
+
+def ngrams(docs: DataFrame, n: int = 4, least: int = 2, stops: float = 0.55, longest: int | None = None, words=tokens) -> DataFrame:
+    """(phrase, n): phrases of n to longest words that occur often enough, are 12 characters long and aren't mostly stop words
+    and numbers. Without longest, of n words."""
+    upto = longest or n
+    held = docs.select(F.explode(F.array(words(F.col("text")))).alias("t")).filter(F.size("t") >= n)  # a step of its own, so words are found once
+    shifted = [F.slice("t", k + 1, F.greatest(F.size("t") - k, F.lit(0))).alias(f"w{k}") for k in range(upto)]  # a slice for each word of a phrase, not one for each place
+    grams = held.select(F.explode(F.arrays_zip(*shifted)).alias("g"))  # past the end of a text, words are null
+    each = grams.select(F.explode(F.array(*[F.array(*[f"g.w{k}" for k in range(size)]) for size in range(n, upto + 1)])).alias("g")).filter(F.element_at("g", -1).isNotNull())
+    share = F.size(F.filter("g", lambda w: w.isin(*STOP) | w.rlike("^[0-9]+$"))) / F.size("g")
     counted = each.filter(share <= stops).groupBy(F.array_join("g", " ").alias("phrase")).agg(F.count("*").alias("n"))
     return counted.filter((F.col("n") >= least) & (F.length("phrase") >= 12))
 

@@ -219,6 +219,14 @@ def ngram_counts(spark, d):
     return counts.ngrams(_docs(spark, d))
 
 
+@query(
+    "WITH t AS (SELECT regexp_extract_all(lower(text), '[a-z]+|[0-9]+') AS t FROM documents), s AS (SELECT t, unnest([4, 5, 6]) AS size FROM t), i AS (SELECT t, size, unnest(range(1, len(t) - size + 2)) AS i FROM s WHERE len(t) >= size), g AS (SELECT size, list_slice(t, i, i + size - 1) AS g FROM i) "
+    f"SELECT array_to_string(g, ' ') AS phrase, count(*) AS n FROM g WHERE len(list_filter(g, lambda w: w IN ({_STOPS}) OR regexp_full_match(w, '[0-9]+'))) / CAST(size AS DOUBLE) <= 0.55 GROUP BY 1 HAVING count(*) >= 2 AND length(array_to_string(g, ' ')) >= 12"
+)
+def ngram_counts_4_to_6(spark, d):
+    return counts.ngrams(_docs(spark, d), longest=6, words=counts.words_and_numbers)
+
+
 _FREQ = "(SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM {0}) x GROUP BY word)"
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import blocks, chapters, export, images, quality, reader
+from quire.operators import blocks, chapters, counts, export, images, quality, reader
 from quire.operators import lines as L
 from quire.streaming import progress
 
@@ -93,6 +93,13 @@ def test_block_html(spark, heading, font, centred, after, html):
     assert spark.range(1).select(export.block_html(F.lit("a<b"), F.lit(heading), F.lit(font), F.lit(centred), F.lit(after)).alias("h")).first()["h"] == html
 
 
+def test_phrases_of_four_to_six_words(spark):
+    docs = spark.createDataFrame([("alpha beta gamma delta epsilon zeta",), ("Alpha beta gamma delta epsilon zeta",), ("1 2 3 alpha 4567890",), ("1 2 3 alpha 4567890",), ("one",), (None,)], "text string")
+    got = {r["phrase"]: r["n"] for r in counts.ngrams(docs, longest=6, words=counts.words_and_numbers).collect()}
+    words = "alpha beta gamma delta epsilon zeta".split()
+    assert got == {" ".join(words[i : i + k]): 2 for k in (4, 5, 6) for i in range(7 - k)}
+
+
 def test_dialogue_split(spark):
     got = blocks.split_dialogue(spark.createDataFrame([("“Go.” “No.” He left.",)], "text string")).first()["parts"]
     assert got == ["“Go.”", "“No.” He left."]
