@@ -231,6 +231,7 @@ def search(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     ranks = ordered(points, fitted(np.array(sample), curves, dims, seed))
     used, window = window_of(points, ranks, asked, nearest, recall, probes)
+    window = max(window, nearest + 1)  # at either end of an ordering there are points on one side alone
     ranks = ranks.filter(F.col("o") < used)
     reach = -(-window // BLOCK)
 

@@ -211,6 +211,14 @@ def test_nearest_neighbours(spark):
     assert hilbert.search(vectors.limit(0)).count() == 0
 
 
+def test_neighbours_at_the_ends_of_strongly_ordered_vectors(spark):
+    data = [(i, [math.cos(i / 4000), math.sin(i / 4000)]) for i in range(601)]
+    found = defaultdict(set)
+    for r in rows(hilbert.search(spark.createDataFrame(data, "vec_id long, embedding array<double>"), dims=1)):
+        found[r["query_id"]].add(r["vec_id"])
+    assert {q: len(ids) for q, ids in found.items()} == {q: 20 for q in range(0, 601, 20)}
+
+
 def test_hilbert_steps_are_neighbours():
     cells = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     order = cells[np.argsort(hilbert.hilbert(cells, 3))]
