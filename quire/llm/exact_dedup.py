@@ -66,9 +66,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_bits: int = FAN_BITS) -> DataFrame:
-    """The documents that stay, with their own columns: exactly one row for each text, also where a row is repeated."""
+    """The documents that stay, with their own columns, whatever their names: exactly one row for each text, also where a
+    row is repeated.
+
+    Null texts are empty and equal to blank ones; a null id stays only if no row of its text has one. Empty table: no rows.
+    """
     bare = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE + "+", "")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(bare, 256)).alias("sha"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(bare, 256)).alias("sha"))
     best = tree_merge(stored(digests(docs, id_col, text_col), "digests"), fan_bits).select("sha", F.col("keep_id").alias("doc_id"))
     both = (rows["sha"] == best["sha"]) & rows["doc_id"].eqNullSafe(best["doc_id"])
     one = W.partitionBy("sha", "doc_id").orderBy(-F.length(F.col("row").getField(text_col)))

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.llm.shared import stored, table
+from quire.session import ship
 
 NEAREST = 20
 #: Orderings, dimensions that each projects to, and bits of a coordinate: a key has DIMS * DEPTH < 64 bits.
@@ -186,9 +187,15 @@ def exact(points: DataFrame, pids: np.ndarray, x: np.ndarray, k: int) -> DataFra
     return near.withColumn("nth", F.row_number().over(W.partitionBy("probe").orderBy(F.desc("score"), "pid"))).filter(F.col("nth") <= k).select("probe", "pid")
 
 
+def drawn(points: DataFrame, n: int, seed: int) -> DataFrame:
+    """About n rows of points at most, chosen by a hash of pid; all rows if there are no more."""
+    every = points.count()
+    return points if every <= n else points.filter(F.pmod(F.xxhash64(F.lit(seed), "pid"), F.lit(1 << 30)) < int((1 << 30) * n / every))
+
+
 def window_of(points: DataFrame, ranks: DataFrame, asked: DataFrame, nearest: int, recall: float, probes: int) -> tuple[int, int]:
     """(orderings, places): the cheapest number of orderings, two at least, and the window with which probes find recall."""
-    few = asked.join(points.select("pid", "v"), "pid").orderBy(F.xxhash64("pid"), "pid").limit(probes).collect()
+    few = sorted(drawn(asked, probes, 1).join(points.select("pid", "v"), "pid").collect(), key=lambda r: r["pid"])  # about probes rows
     if not few:
         return 2, 1
     pids = np.array([r["pid"] for r in few])
@@ -214,19 +221,20 @@ def search(
     Hilbert key; a query is compared with the points whose place in an ordering is within its window, and the best of all
     orderings are merged and ranked by exact scores. The window and the number of orderings used are the cheapest with which
     a few probes find the wanted recall of their exact neighbours, for which the probes alone are compared with every row.
-    The curves are fitted on at most SAMPLE vectors; every row is indexed.
+    The curves are fitted on about SAMPLE vectors at most, chosen by a hash where they are; every row is indexed.
 
     Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do
     null ids. Of rows repeated with one id, the smallest vector counts. Fewer rows than nearest give all candidates found.
     Empty table: no rows.
     """
     spark, k = vectors.sparkSession, nearest + 1
+    ship(spark)
     rows = stored(usable(vectors, id_col, vector_col), "vectors")
     points = stored(points_of(rows, k), "points")
     asks = rows.filter(F.col("vec_id") % every == 0).withColumnRenamed("vec_id", "query_id")
     asks = stored(asks.join(points.select("v", "pid"), "v").select("query_id", "pid"), "queries")
     asked = asks.select("pid").distinct()
-    sample = [r["v"] for r in points.orderBy(F.xxhash64("pid"), "pid").limit(SAMPLE).select("v").collect()]
+    sample = [r["v"] for r in sorted(drawn(points, SAMPLE, 0).select("pid", "v").collect(), key=lambda r: r["pid"])]  # about SAMPLE rows
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     ranks = ordered(points, fitted(np.array(sample), curves, dims, seed))

@@ -1,7 +1,8 @@
-"""Array code over Arrow string columns: words, 5-word shingles and their distinct 64-bit fingerprints."""
+"""Array code over Arrow string columns: words, 5-word shingles and their distinct 128-bit fingerprints."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,24 +25,40 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = np.arange(256, dtype=np.uint8)
 LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
 IS_SPACE = (_BYTE == 32) | ((_BYTE >= 9) & (_BYTE <= 13))
-_SIGN = mix(np.arange(1, 257, dtype=np.uint64))[LOWER]
-_BASE = np.uint64(0xD6E8FEB86659FD93)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base), dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_POWER = np.ones(1, dtype=np.uint64)
-_INVERSE = np.ones(1, dtype=np.uint64)
-
-
-def _tables(n: int) -> None:
-    global _POWER, _INVERSE
-    if len(_POWER) < n:
-        _POWER, _INVERSE = _powers(int(_BASE), n), _powers(pow(int(_BASE), -1, 1 << 64), n)
+#: Where the two lanes of a hash start, and bytes up to which a piece is hashed in lanes of eight bytes; longer ones take blake2b.
+SEEDS, SHORT = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)), 96
+_KEEP = np.array([0] + [(1 << 8 * k) - 1 for k in range(1, 9)], dtype=np.uint64)
+
+
+def joined(lanes: tuple[np.ndarray, np.ndarray], more: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit lanes that take in two more words each; the lanes differ in how, so they collide independently."""
+    x, y = lanes
+    return mix(x ^ more[0]), mix((y << np.uint64(1) | y >> np.uint64(63)) + more[1] * np.uint64(0xD1342543DE82EF95))
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes, as two lanes, of the pieces data[starts[i]:ends[i]]: eight bytes at a time through a mixing
+    function, or blake2b of a long piece. Neither is a polynomial, so no family of texts collides by construction."""
+    sizes = (ends - starts).astype(np.int64)
+    x, y = mix(SEEDS[0] ^ sizes.astype(np.uint64)), mix(SEEDS[1] + sizes.astype(np.uint64))
+    if not len(sizes):
+        return x, y
+    short = np.flatnonzero(sizes <= SHORT)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    at, left, a, b = starts[short], sizes[short], x[short], y[short]
+    alive = np.arange(len(short))
+    while len(alive := alive[left[alive] > 0]):
+        word = eight[at[alive]] & _KEEP[np.minimum(left[alive], 8)]
+        a[alive], b[alive] = joined((a[alive], b[alive]), (word, word))
+        at[alive] += 8
+        left[alive] -= 8
+    x[short], y[short] = a, b
+    for i in np.flatnonzero(sizes > SHORT):
+        found = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
+        x[i], y[i] = np.frombuffer(found, "<u8")
+    return x, y
 
 
 def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,28 +69,25 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), at
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of every word of the texts data[at[i]:at[i+1]]: maximal runs without white space, A-Z lower-cased.
-
-    A polynomial of mixed byte values modulo 2**64 from prefix sums, made independent of the place by an inverse power.
-    """
-    lo, hi = int(at[0]), int(at[-1])
-    part = data[lo:hi]
-    if not len(part):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    _tables(len(part) + 1)
+def word_places(part: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) in part of every word of the texts part[own[i]:own[i+1]]: maximal runs without white space."""
     inside = ~IS_SPACE[part]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
-    heads = (at[:-1] - lo)[at[:-1] < at[1:]]
+    heads = own[:-1][own[:-1] < own[1:]]
     first[heads] = inside[heads]
-    last = inside.copy()
+    last = inside
     last[:-1] &= ~inside[1:] | first[1:]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    sums = np.zeros(len(part) + 1, dtype=np.uint64)
-    np.cumsum(_SIGN[part] * _POWER[: len(part)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _INVERSE[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(at[1:] - lo, starts, side="right")
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lane, lane, text) of every word of the texts data[at[i]:at[i+1]], A-Z lower-cased."""
+    part, own = data[int(at[0]) : int(at[-1])], at - at[0]
+    if not len(part):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    starts, ends = word_places(part, own)
+    return *digests(LOWER[part], starts, ends), np.searchsorted(own[1:], starts, side="right")
 
 
 def groups(data: np.ndarray, at: np.ndarray, segment: int = SEGMENT) -> Iterator[tuple[int, np.ndarray]]:
@@ -85,11 +99,9 @@ def groups(data: np.ndarray, at: np.ndarray, segment: int = SEGMENT) -> Iterator
         i = j
 
 
-def words_of(data: np.ndarray, at: np.ndarray, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray]:
-    """word_hashes() in bounded memory: a single long text is cut after white space."""
-    if at[-1] - at[0] <= 2 * segment or len(at) > 2:
-        return word_hashes(data, at)
-    cuts, lo, hi = [int(at[0])], int(at[0]), int(at[-1])
+def cuts_of(data: np.ndarray, lo: int, hi: int, segment: int = SEGMENT) -> list[int]:
+    """Places that cut data[lo:hi] into pieces of about a segment, each before white space; a run without any stays whole."""
+    cuts = [lo]
     while hi - cuts[-1] > segment:
         to = cuts[-1] + segment
         while to < hi:
@@ -99,40 +111,57 @@ def words_of(data: np.ndarray, at: np.ndarray, segment: int = SEGMENT) -> tuple[
                 break
             to = min(hi, to + segment)
         cuts.append(to)
-    cuts.append(hi)
-    parts = [word_hashes(data, np.array([a, b]))[0] for a, b in zip(cuts, cuts[1:]) if b > a]
-    hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    return hashes, np.zeros(len(hashes), np.int64)
+    return [*cuts, hi] if hi > cuts[-1] else cuts
+
+
+def words_of(data: np.ndarray, at: np.ndarray, segment: int = SEGMENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_hashes() in bounded memory: a single long text is cut at white space."""
+    if at[-1] - at[0] <= 2 * segment or len(at) > 2:
+        return word_hashes(data, at)
+    cuts = cuts_of(data, int(at[0]), int(at[-1]), segment)
+    parts = [word_hashes(data, np.array([a, b]))[:2] for a, b in zip(cuts, cuts[1:])]
+    x, y = (np.concatenate(lane) for lane in zip(*parts))
+    return x, y, np.zeros(len(x), np.int64)
+
+
+def distinct(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs (x[i], y[i]) in order."""
+    order = np.argsort(x)
+    x, y = x[order], y[order]
+    same = x[1:] == x[:-1]
+    if (same & (y[1:] != y[:-1])).any():  # a lane collides, once in a very long while
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        same = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+    keep = np.concatenate([np.ones(min(1, len(x)), bool), ~same])
+    return x[keep], y[keep]
 
 
 def shingle_sets(column: pa.Array, size: int = WORDS) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """(first text, sets): for each run of texts the sorted distinct fingerprints of the shingles of each text.
+    """(first text, sets): for each run of texts the distinct 128-bit fingerprints of the shingles of each text, in order,
+    as an array of two rows, one for each lane.
 
     With fewer words than size, the whole sequence is the one shingle; without words the set is empty.
     """
     data, at = strings(column)
     for i, own in groups(data, at):
-        hashes, text = words_of(data, own)
+        x, y, text = words_of(data, own)
         count = np.bincount(text, minlength=len(own) - 1)
         upto = np.concatenate([[0], np.cumsum(count)])
-        whole = np.zeros(max(0, len(hashes) - size + 1), dtype=np.uint64)
-        for k in range(size):
-            whole = whole * _BASE + hashes[k : k + len(whole)]
-        whole = mix(whole)
+        n = max(0, len(x) - size + 1)
+        whole = np.full(n, SEEDS[1]), np.full(n, SEEDS[0])
+        for k in range(size if n else 0):
+            whole = joined(whole, (x[k : k + n], y[k : k + n]))
         sets = []
         for j, n in enumerate(count):
             a = upto[j]
             if n >= size:
-                x = whole[a : a + n - size + 1].copy()
-                x.sort()
-                if len(x) > 1:
-                    x = x[np.concatenate([[True], x[1:] != x[:-1]])]
+                pair = distinct(whole[0][a : a + n - size + 1], whole[1][a : a + n - size + 1])
             elif n:
-                x = np.full(1, n, dtype=np.uint64)
-                for w in hashes[a : a + n]:
-                    x = x * _BASE + w
-                x = mix(x ^ _ODD)
+                pair = np.full(1, n, dtype=np.uint64), np.full(1, n, dtype=np.uint64)
+                for w in range(a, a + n):
+                    pair = joined(pair, (x[w : w + 1], y[w : w + 1]))
             else:
-                x = np.zeros(0, np.uint64)
-            sets.append(x)
+                pair = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+            sets.append(np.stack(pair))
         yield i, sets

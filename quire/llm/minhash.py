@@ -12,15 +12,17 @@ from pyspark.sql import functions as F
 
 from quire.llm.components import components
 from quire.llm.kernels import mix, shingle_sets
-from quire.llm.shared import keep_only, stored, table
+from quire.llm.shared import forget, keep_only, stored, table
+from quire.session import ship
 
 #: Coordinates of a sketch, in BANDS bands. Two sets of similarity s share no band with a probability of about
 #: (1 - s ** (COORDS / BANDS)) ** BANDS: 5e-6 at s = 0.75.
 COORDS, BANDS = 128, 32
 #: Least similarity, as two whole numbers: OVER * intersection >= LEAST * union.
 OVER, LEAST = 100, 75
-#: Sets of a bucket that are compared with each other in one task; larger buckets are dealt out as pairs of blocks.
-BLOCK = 1024
+#: Sets of a bucket that are compared with each other in one task, and elements in all (16 bytes each); larger buckets are
+#: dealt out as pairs of blocks.
+BLOCK, ELEMENTS = 1024, 1 << 20
 
 
 def sketches(sets: list[np.ndarray], coords: int = COORDS) -> np.ndarray:
@@ -31,8 +33,8 @@ def sketches(sets: list[np.ndarray], coords: int = COORDS) -> np.ndarray:
     sure. Only sets with open bins take part in a further round.
     """
     out = np.full((len(sets), coords), np.uint64(0xFFFFFFFFFFFFFFFF))
-    n = np.array([len(x) for x in sets])
-    flat, owner = (np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)), np.repeat(np.arange(len(sets)), n)
+    n = np.array([x.shape[1] for x in sets], dtype=np.int64)
+    flat, owner = (np.concatenate([x[0] for x in sets]) if len(sets) else np.zeros(0, np.uint64)), np.repeat(np.arange(len(sets)), n)
     bits, top = np.uint64(coords - 1), np.uint64(56)
     for r in range(2 * coords):
         if not len(flat):
@@ -74,12 +76,12 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
         for i, sets in shingle_sets(batch.column(1)):
-            full = [j for j, x in enumerate(sets) if len(x)]
+            full = [j for j, x in enumerate(sets) if x.shape[1]]
             keys = band_keys(sketches([sets[j] for j in full]))
             counts = np.zeros(len(sets), np.int32)
             counts[full] = keys.shape[1] if len(full) else 0
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(keys.reshape(-1)))
-            made = [pa.array([len(x) for x in sets], pa.int64()), pa.array([_digest(x) for x in sets], pa.binary()), lists]
+            made = [pa.array([x.shape[1] for x in sets], pa.int64()), pa.array([_digest(x) for x in sets], pa.binary()), lists]
             yield pa.RecordBatch.from_arrays([ids.slice(i, len(sets)), *made], schema=SIGNED)
 
 
@@ -91,18 +93,22 @@ def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _similar(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two sorted sets are linked."""
-    x, y = (x, y) if len(x) <= len(y) else (y, x)
-    if OVER * len(x) < LEAST * len(y):
+    """Whether two sets, as shingle_sets() gives them, are linked."""
+    x, y = (x, y) if x.shape[1] <= y.shape[1] else (y, x)
+    n, m = x.shape[1], y.shape[1]
+    if OVER * n < LEAST * m:
         return False
-    at = np.searchsorted(y, x)
-    at[at == len(y)] = 0
-    both = int((y[at] == x).sum())
-    return OVER * both >= LEAST * (len(x) + len(y) - both)
+    if (y[0][1:] == y[0][:-1]).any():  # a lane collides within the set
+        both = len(set(zip(*x.tolist())) & set(zip(*y.tolist())))
+    else:
+        at = np.searchsorted(y[0], x[0])
+        at[at == m] = 0
+        both = int(((y[0][at] == x[0]) & (y[1][at] == x[1])).sum())
+    return OVER * both >= LEAST * (n + m - both)
 
 
 def _elements(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in column]
+    return [np.frombuffer(v.as_buffer(), dtype=np.uint64).reshape(2, -1) for v in column]
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +137,7 @@ def _block_links(group: pa.Table) -> pa.Table:
         return x
 
     a, b = [], []
-    sizes = np.array([len(x) for x in sets])
+    sizes = np.array([x.shape[1] for x in sets])
     for i in range(len(ids)):
         if block[i] != low:
             continue
@@ -180,14 +186,19 @@ def links_of(signed: DataFrame, docs: DataFrame) -> DataFrame:
     star = members.filter(F.col("set_id") != F.col("lead")).select("lead", "set_id", "n").distinct().join(sizes, "lead").filter(near_size(F.col("n"), F.col("lead_n")))
     links = stored(verified(star.select(F.col("lead").alias("a"), F.col("set_id").alias("b")), full), "links")
     roots = components(links)
-    rest = members.filter(F.col("set_id") != F.col("lead")).join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("bucket", "band", "set_id", F.coalesce("root", "set_id").alias("root"))
-    open_ = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("lo <> hi").select("bucket", "blocks")
-    dealt = rest.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    rest = members.filter(F.col("set_id") != F.col("lead")).join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
+    rest = stored(rest.select("bucket", "band", "set_id", "n", F.coalesce("root", "set_id").alias("root")), "rest")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / ELEMENTS)).cast("int").alias("blocks")
+    open_ = rest.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), blocks).filter("lo <> hi").select("bucket", "blocks")
+    # a bucket can hold a large part of the rows: with a merge join, Spark splits it when it sees its size
+    dealt = rest.join(open_.hint("merge"), "bucket").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     dealt = stored(dealt.select("bucket", "band", "set_id", "root", "block", "low", "high"), "open")
     held = dealt.join(full, "set_id").join(sets.select("set_id", "bands"), "set_id")
     more = stored(held.groupBy("bucket", "low", "high").applyInArrow(_block_links, "a binary, b binary").distinct(), "links")
-    return components(links.unionByName(more))
+    out = components(links.unionByName(more))
+    forget(sets, members, wanted, full, links, roots, rest, dealt, more)
+    return out
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,6 +209,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     can be reached by links of similarity 0.75 or more. Equal sets are one node, whatever the number of their rows. Rows
     repeated with one id get equal results; a null id is never the smallest unless all are null. Empty table: no rows.
     """
+    ship(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = stored(base.mapInArrow(_sign, "doc_id long, n long, set_id binary, bands array<long>"), "signed")
     roots = links_of(signed, base)
@@ -205,15 +217,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     known = stored(sets.join(roots, sets["set_id"] == roots["node"], "left").select("set_id", "least", "rows", F.coalesce("root", "set_id").alias("root"), F.col("root").isNotNull().alias("near")), "known")
     whole = known.groupBy("root").agg(F.min("least").alias("component_id"))
     found = stored(known.filter("near OR rows > 1").join(whole, "root").select("set_id", "component_id"), "found")
+    forget(roots, known)
     out = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id")).join(found, "set_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of which none with a smaller id is in their group, with their own columns."""
-    keep = near_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_keep_id")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep_id")), "left_semi")
+    """The documents of which none with a smaller id is in their group, with their own columns, whatever their names.
+
+    Rows repeated with one id stay all or go all; rows with a null id stay if no row of their group has an id. Documents
+    with null, empty or blank text stay. Empty table: no rows.
+    """
+    keep = near_dedup(docs, id_col, text_col).filter("kept").select("doc_id").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    return rows.join(keep, F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

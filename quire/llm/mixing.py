@@ -123,10 +123,14 @@ def mix(
 def mixed_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy: float = ENTROPY, passes: float = PASSES, budget: int | None = None, seed: int = SEED
 ) -> DataFrame:
-    """The documents as often as the mixture takes them, with their own columns."""
+    """The documents as often as the mixture takes them, with their own columns, whatever their names.
+
+    Rows are taken as by mix(): repeated rows each, null texts as empty ones, a null source as a source of its own. Empty
+    table: no rows.
+    """
     rows = placed(docs, id_col, text_col, source_col, seed).select("source", words_in(F.col("text")).alias("tokens"), "place")
     ends = cuts(stored(rows, "places"), entropy, passes, budget)
-    held = placed(docs, id_col, text_col, source_col, seed, F.struct(*docs.columns).alias("row")).select("source", "place", "row")
+    held = placed(docs, id_col, text_col, source_col, seed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("source", "place", "row")
     taken = copies(held, ends).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_")).select("row.*")
 

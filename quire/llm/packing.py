@@ -6,7 +6,6 @@ import bisect
 import os
 import re
 import zlib
-from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import chain
@@ -18,122 +17,143 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.llm.kernels import LOWER, cuts_of, digests, groups, strings, word_places
 from quire.llm.shared import keep_only, stored, table
+from quire.session import ship
 
 WINDOW, END = 2048, 1
-#: Bytes of text whose words are held at once, words and stems a worker keeps, and lengths from which triples are formed.
-SEGMENT, WORDS, STEMS, TRIPLES = 1 << 21, 250_000, 600_000, 48
-MARKS = b".,!?;:"
-_CUT = re.compile(rb"[\x20\x09-\x0D]")
-
-
-class Words(dict):
-    """Token ids by white-space word, for a tokenizer that drops white space: word -> number.
-
-    A word is one or two stems: the word lower-cased (as the tokenizer does), or that without its closing marks, which are a
-    pretoken of their own after a letter, and these marks. Stems have their ids in one flat array; only new stems go to the
-    library, all those of a segment at once. Words and stems are forgotten when there are too many of either.
+#: Bytes of text whose words are held at once, stems that a worker keeps, marks at the end of a word that are looked for,
+#: lengths from which triples are formed, rows and bytes of a batch that a worker gives back.
+SEGMENT, STEMS, MARKS, TRIPLES, ROWS, BYTES = 1 << 21, 600_000, 8, 48, 4096, 1 << 23
+_BYTE = np.arange(256)
+_IS_MARK = np.isin(_BYTE, list(b".,!?;:"))
+_ASCII, _LATIN = (_BYTE >= 97) & (_BYTE <= 122), (_BYTE >= 0x80) & (_BYTE <= 0xBF) & (_BYTE != 0x97) & (_BYTE != 0xB7)
+#: Stems that are one pretoken: letters of ASCII and Latin-1 alone.
+_SIMPLE = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+\Z")
+
+
+class Stems:
+    """Token ids by stem, for a tokenizer that drops white space.
+
+    A word is one or two stems: the word with A-Z lower-cased (as the tokenizer does), or that without its closing marks,
+    which are a pretoken of their own after a letter, and these marks. Only letters of ASCII and Latin-1 settle this: a
+    letter of another kind may become several characters when it is lower-cased, and the last of them may be no letter.
+    A word with the beginning of a special string stays as it is written. Stems are known by a 128-bit digest and have
+    their ids in one flat array, so a worker holds some 30 bytes for each. Only new stems go to the library, all those of
+    a segment at once: stems that are letters alone as one text, where ids with the mark of a word's end say whose they
+    are, others one by one. If there are too many, those met once since the last time are forgotten.
     """
 
     def __init__(self, text: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_str(text)
-        self.wide = self.library.get_vocab_size() > 1 << 16
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.first, self.second = array("q"), array("q")
-        self.stems, self.new = {b"": 0}, []
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1, np.int32), np.zeros(1, np.int32)
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self.first)
-        stem, second, stems = word, 0, self.stems
-        if b"<|" not in word:
-            stem = word.lower()
-            if stem[-1] in MARKS:
-                bare = stem.rstrip(MARKS)
-                if bare and (97 <= bare[-1] <= 122 or bare[-1] > 127 and settled_letter(bare)):
-                    stem, marks = bare, stem[len(bare) :]
-                    second = stems.get(marks)
-                    if second is None:
-                        second = stems[marks] = len(stems)
-                        self.new.append(marks.decode())
-        first = stems.get(stem)
-        if first is None:
-            first = stems[stem] = len(stems)
-            self.new.append(stem.decode())
-        self.first.append(first)
-        self.second.append(second)
-        return at
-
-    def settle(self) -> None:
-        """Have the library encode the stems that are new."""
-        if not self.new:
-            return
-        found = [e.ids for e in self.library.encode_batch(self.new, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int32, len(found))
-        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.start = np.concatenate([self.start, (self.used + np.cumsum(size) - size).astype(np.int32)])
-        self.size = np.concatenate([self.size, size])
-        self.used += len(ids)
-        self.new = []
-
-    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The token ids of each text."""
-        if len(self.stems) > STEMS:
-            self.reset()
-        elif len(self) > WORDS:
-            self.clear()
-            self.first, self.second = array("q"), array("q")
-        words = [t.split() for t in texts]
-        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int32, sum(map(len, words)))
-        self.settle()
-        stems = np.empty((len(numbers), 2), np.int32)
-        stems[:, 0], stems[:, 1] = (np.array(x, np.int32)[numbers] for x in (self.first, self.second))
-        stems = stems.reshape(-1)
-        sizes = self.size[stems]
-        upto = np.cumsum(sizes, dtype=np.int32) - sizes
-        own = np.append(upto[::2], upto[-1] + sizes[-1] if len(sizes) else 0)
-        flat = self.flat[np.repeat(self.start[stems] - upto, sizes) + np.arange(own[-1], dtype=np.int32)]
-        return np.split(flat, own[np.cumsum([len(ws) for ws in words])[:-1]])
-
-
-def settled_letter(word: bytes) -> bool:
-    """Whether the last character is a letter in every version of Unicode."""
-    last = word.decode()[-1]
-    return last < "\u0530" and last.isalpha()
-
-
-def texts_ids(known: Words, texts: list[bytes]) -> Iterator[np.ndarray]:
-    """Ids of each text in turn; texts are joined to segments, and a long one is cut at white space."""
-    held: list[bytes] = []
-    size = 0
-    for text in [*texts, None]:
-        if held and (text is None or size + len(text) > SEGMENT):
-            yield from known.ids(held)
-            held, size = [], 0
-        if text is None:
-            return
-        if len(text) <= SEGMENT:
-            held.append(text)
-            size += len(text)
-            continue
-        parts, at = [], 0
-        while at < len(text):
-            found = _CUT.search(text, min(len(text), at + SEGMENT))
-            to = found.start() if found else len(text)
-            parts.append(known.ids([text[at:to]])[0])
-            at = to
-        yield np.concatenate(parts)
+        size = self.library.get_vocab_size()
+        self.kind = np.uint32 if size > 1 << 16 else np.uint16
+        self.last = np.zeros(size, bool)
+        self.last[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
+        self.x, self.y, self.number = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)  # by x
+        self.start, self.size, self.met, self.flat = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, self.kind)
+
+    def forget(self) -> None:
+        """Keep the stems that were met more than once, unless these are too many too."""
+        keep = self.met > 1
+        if keep.sum() > STEMS // 2:
+            keep[:] = False
+        own = keep[self.number]
+        size = self.size[keep]
+        at = np.cumsum(size) - size
+        self.flat = self.flat[np.repeat(self.start[keep] - at, size) + np.arange(size.sum())]
+        self.x, self.y, self.number = self.x[own], self.y[own], (np.cumsum(keep) - 1).astype(np.int32)[self.number[own]]
+        self.start, self.size, self.met = at.astype(np.int32), size, np.zeros(len(size), np.int32)
+
+    def encode(self, stems: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, ids, sizes) of stems by the library: in which order they come, all their ids, and how many each has."""
+        simple, other = [], []
+        for k, stem in enumerate(stems):
+            (simple if _SIMPLE.match(stem) else other).append(k)
+        joined = [b" ".join(stems[k] for k in simple[i : i + 1000]).decode() for i in range(0, len(simple), 1000)]
+        found = [e.ids for e in self.library.encode_batch_fast(joined, add_special_tokens=False)] if joined else []
+        ids = np.fromiter(chain.from_iterable(found), self.kind, sum(map(len, found)))
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(simple) or len(ids) != (ends[-1] if len(ends) else 0):  # the vocabulary marks ends in another way
+            ids, ends, simple, other = ids[:0], ends[:0], [], [*simple, *other]
+        size = np.diff(ends, prepend=0)
+        if other:
+            found = [e.ids for e in self.library.encode_batch_fast([stems[k].decode() for k in other], add_special_tokens=False)]
+            size = np.concatenate([size, np.fromiter(map(len, found), np.int64, len(found))])
+            ids = np.concatenate([ids, np.fromiter(chain.from_iterable(found), self.kind, sum(map(len, found)))])
+        return np.array([*simple, *other], np.int64), ids, size
+
+    def stems_of(self, part: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, starts, ends) of the stems of the texts part[own[i]:own[i+1]]."""
+        starts, ends = word_places(part, own)
+        lowered, whole = LOWER[part], np.zeros(len(starts), bool)
+        for k in np.unique(np.searchsorted(starts, np.flatnonzero((part[:-1] == 60) & (part[1:] == 124)), side="right") - 1):  # <|
+            lowered[starts[k] : ends[k]] = part[starts[k] : ends[k]]
+            whole[k] = True
+        stop = ends.copy()
+        for _ in range(MARKS):
+            stop -= (stop > starts) & _IS_MARK[lowered[stop - 1]]
+        last, before = lowered[stop - 1], lowered[np.maximum(stop - 2, 0)]
+        letter = _ASCII[last] | _LATIN[last] & (before == 0xC3) & (stop - starts > 1)
+        two = (stop > starts) & (stop < ends) & letter & ~whole
+        stop = np.where(two, stop, ends)
+        at = np.arange(len(starts)) + np.cumsum(two) - two
+        s, e = np.empty(len(starts) + int(two.sum()), np.int64), np.empty(len(starts) + int(two.sum()), np.int64)
+        s[at], e[at] = starts, stop
+        s[at[two] + 1], e[at[two] + 1] = stop[two], ends[two]
+        return lowered, s, e
+
+    def ids(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(all token ids, how many each text has) of the texts data[at[i]:at[i+1]]."""
+        if len(self.size) > STEMS:
+            self.forget()
+        part, own = data[at[0] : at[-1]], at - at[0]
+        if not len(part):
+            return np.zeros(0, self.kind), np.zeros(len(own) - 1, np.int64)
+        lowered, starts, ends = self.stems_of(part, own)
+        x, y = digests(lowered, starts, ends)
+        order = np.argsort(x)
+        sx, sy = x[order], y[order]
+        new = np.ones(len(x), bool)
+        new[1:] = (sx[1:] != sx[:-1]) | (sy[1:] != sy[:-1])
+        ux, uy, first = sx[new], sy[new], order[new]
+        place = np.searchsorted(self.x, ux)
+        near = np.minimum(place, len(self.x) - 1)
+        known = (self.x[near] == ux) & (self.y[near] == uy) if len(self.x) else np.zeros(len(ux), bool)
+        number = np.empty(len(ux), np.int32)
+        number[known] = self.number[near[known]]
+        missing = np.flatnonzero(~known)
+        if len(missing):
+            raw = lowered.tobytes()
+            come, ids, size = self.encode([raw[a:b] for a, b in zip(starts[first[missing]].tolist(), ends[first[missing]].tolist())])
+            number[missing[come]] = np.arange(len(self.size), len(self.size) + len(come), dtype=np.int32)
+            self.start = np.concatenate([self.start, (len(self.flat) + np.cumsum(size) - size).astype(np.int32)])
+            self.size, self.met = np.concatenate([self.size, size.astype(np.int32)]), np.concatenate([self.met, np.zeros(len(size), np.int32)])
+            self.flat = np.concatenate([self.flat, ids])
+            self.x, self.y, self.number = (np.insert(old, place[missing], more[missing]) for old, more in ((self.x, ux), (self.y, uy), (self.number, number)))
+        self.met += np.bincount(number, minlength=len(self.met)).astype(np.int32)
+        stems = np.empty(len(x), np.int32)
+        stems[order] = number[np.cumsum(new) - 1]
+        sizes = self.size[stems].astype(np.int64)
+        upto = np.cumsum(sizes) - sizes
+        flat = self.flat[np.repeat(self.start[stems] - upto, sizes) + np.arange(sizes.sum())]
+        text = np.searchsorted(own[1:], starts, side="right")
+        return flat, np.bincount(text, weights=sizes, minlength=len(own) - 1).astype(np.int64)
+
+
+def texts_ids(known: Stems, column: pa.Array) -> Iterator[np.ndarray]:
+    """Ids of each text of a column in turn; null counts as empty. A long text is cut at white space."""
+    data, at = strings(column)
+    for _, own in groups(data, at, SEGMENT):
+        if len(own) == 2 and own[1] - own[0] > SEGMENT:
+            cuts = cuts_of(data, int(own[0]), int(own[1]), SEGMENT)
+            yield np.concatenate([known.ids(data, np.array([a, b]))[0] for a, b in zip(cuts, cuts[1:])])
+        else:
+            flat, count = known.ids(data, own)
+            yield from np.split(flat, np.cumsum(count)[:-1])
 
 
 def crc(ids: np.ndarray) -> int:
@@ -150,22 +170,32 @@ def windows_and_rests(docs: DataFrame, tokenizer: str, window: int) -> DataFrame
         held = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, part, count = keep_only(f"words of {tokenizer}", lambda: Words(held.value)), TaskContext.get().partitionId(), Counter()
-        kind = "<u4" if known.wide else "<u2"
+        known, part, count = keep_only(f"words of {tokenizer}", lambda: Stems(held.value)), TaskContext.get().partitionId(), Counter()
+        kind = np.dtype(known.kind).newbyteorder("<")
+        columns: list[list] = [[] for _ in CUT]
+        size = 0
+
+        def full() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, CUT)], schema=CUT)
+            for c in columns:
+                c.clear()
+            return made
+
         for batch in batches:
-            texts = [(x.as_py() or "").encode() for x in batch.column(1)]
-            rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), texts_ids(known, texts)):
-                ids = np.append(ids, np.uint32(END))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), texts_ids(known, batch.column(1))):
+                ids = np.append(ids, known.kind(END))
                 for a in range(0, len(ids), window):
                     own = ids[a : a + window]
-                    rows.append((part, count[len(own)], doc_id, a, len(own), crc(own), len(ids), own.astype(kind).tobytes() if len(own) < window else None))
+                    rest = own.astype(kind).tobytes() if len(own) < window else None
+                    for c, v in zip(columns, (part, count[len(own)], doc_id, a, len(own), crc(own), len(ids), rest)):
+                        c.append(v)
                     count[len(own)] += 1
-                if len(rows) >= 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), CUT)], schema=CUT)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), CUT)], schema=CUT)
+                    size += len(rest or b"")
+                if len(columns[0]) >= ROWS or size >= BYTES:
+                    yield full()
+                    size = 0
+        if columns[0]:
+            yield full()
 
     return docs.mapInArrow(cut, CUT_DDL)
 
@@ -293,6 +323,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     rows. Sequences are numbered from 0 and gapless; only the last can be shorter than the window.
     """
     spark = docs.sparkSession
+    ship(spark)
     if tokenizer is None:
         import public_tokenizers
 
@@ -304,7 +335,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     places = spark.createDataFrame(plan(have, window), "length int, lo long, hi long, from int, size int, sequence long, offset long")
     base = counts.select("part", "length", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("base"))
     ranked = cut.drop("ids").join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
-    # the plan has a few rows for each length up to window, whatever the input
+    # The plan is about lengths up to window, not about documents: each of its steps uses up a length or makes one, so it has
+    # some ten rows for a length on average (23,390 in all were seen), whatever the input.
     met = ranked.join(F.broadcast(places), "length").filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     placed = stored(met.select("part", "nth", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "from", "size", (F.col("sequence") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset"), "placed")
 

@@ -36,6 +36,8 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, r"(?i)phone|\btel|call|mobile|fax"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", "", 0.7, "(?i)iban|account|bank|konto", False),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "-", 0.3, r"(?i)\bssn\b|social|security", False),
+    Kind("key", r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,72}|sk_live_[A-Za-z0-9]{24}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_])", "", 0.9, "(?i)key|token|secret", False),
+    Kind("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?![A-Za-z0-9+/_-])", "", 0.3, r"(?i)token|secret|passw|\bpwd\b|api.?key|\bauth|bearer|credential|private.?key", False),
 )
 
 
@@ -62,31 +64,50 @@ def confirmed(kind: str, text: Column) -> Column:
         return F.when(F.length(digits).between(14, 19), luhn(digits)).otherwise(False)
     if kind == "phone":
         return F.length(F.regexp_replace(text, "[^0-9]", "")).between(10, 15)
+    if kind == "secret":  # a word or a number is none; what is drawn at random has many different characters
+        return (F.size(F.array_distinct(F.split(text, ""))) >= 8) & text.rlike("[0-9]") & text.rlike("[A-Za-z]")
     if kind == "iban":
         return mod97(F.replace(text, F.lit(" "), F.lit("")))
     return F.lit(True)
 
 
-def spans_of(kind: Kind, at: int, text: Column, matches: Column) -> Column:
-    """array<struct<start,at,end,kind,score>> of the valid matches, in code points, end exclusive.
+SPANS = "array<struct<start:long,at:int,end:long,kind:string,score:double>>"
+PARTS = "array<struct<before:int,near:string,found:string>>"
+
+
+def parts_of(kind: Kind, text: Column, matches: Column) -> Column:
+    """For each match the length of what is between it and the one before it, the end of that, and the match itself.
 
     The pieces between matches come from split() by the same pattern, so lengths of pieces and matches add up to positions.
     """
-    pieces = F.split(text, kind.pattern, -1)
-    kinds = "array<struct<start:long,at:int,end:long,kind:string,score:double>>"
-    both = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("before"), matches.alias("found"))
+    pieces = F.slice(F.split(text, kind.pattern, -1), F.lit(1), F.size(matches))
+    part = lambda piece, found: F.struct(F.length(piece).alias("before"), F.right(piece, F.lit(NEAR)).alias("near"), found.alias("found"))
+    return F.when(F.size(matches) > 0, F.zip_with(pieces, matches, part)).otherwise(F.array()).cast(PARTS)
+
+
+def spans_of(kind: Kind, at: int, parts: Column) -> Column:
+    """array<struct<start,at,end,kind,score>> of the valid matches, in code points, end exclusive.
+
+    Positions are running sums. An array grows by being copied, so n matches are added up in blocks of about the root of n:
+    first how much each block takes, then where each begins, then the matches within each.
+    """
+    n = F.size(parts)
+    width = F.ceil(F.sqrt(n)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(n / width).cast("int") - 1), lambda i: F.slice(parts, i * width + 1, width))
+    takes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x["before"] + F.length(x["found"])))
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<long>")
+    begins = F.aggregate(takes, F.struct(zero.alias("upto"), none.alias("out")), lambda a, t: F.struct((a["upto"] + t).alias("upto"), F.concat(a["out"], F.array(a["upto"])).alias("out")), lambda a: a["out"])
 
     def step(acc: Column, x: Column) -> Column:
-        before, found = x["before"], x["found"]
-        start = acc["upto"] + F.length(before)
-        end = start + F.length(found)
-        score = F.round(F.lit(kind.score) + F.when(F.right(before, F.lit(NEAR)).rlike(kind.context), LIFT).otherwise(0.0), 3)
+        start = acc["upto"] + x["before"]
+        end = start + F.length(x["found"])
+        score = F.round(F.lit(kind.score) + F.when(x["near"].rlike(kind.context), LIFT).otherwise(0.0), 3)
         one = F.array(F.struct(start.alias("start"), F.lit(at).alias("at"), end.alias("end"), F.lit(kind.name).alias("kind"), score.alias("score")))
-        good = confirmed(kind.name, found) if kind.base else confirmed(kind.name, found) & (score >= LEAST)
-        return F.struct(end.alias("upto"), F.when(good, F.concat(acc["out"], one)).otherwise(acc["out"]).cast(kinds).alias("out"))
+        good = confirmed(kind.name, x["found"]) if kind.base else confirmed(kind.name, x["found"]) & (score >= LEAST)
+        return F.struct(end.alias("upto"), F.when(good, F.concat(acc["out"], one)).otherwise(acc["out"]).cast(SPANS).alias("out"))
 
-    start = F.struct(F.lit(0).cast("long").alias("upto"), F.array().cast(kinds).alias("out"))
-    return F.when(F.size(matches) > 0, F.aggregate(both, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(kinds))
+    within = lambda block, begin: F.aggregate(block, F.struct(begin.alias("upto"), F.array().cast(SPANS).alias("out")), step, lambda acc: acc["out"])
+    return F.when(n > 0, F.flatten(F.zip_with(blocks, begins, within))).otherwise(F.array().cast(SPANS))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds=KINDS) -> DataFrame:
@@ -100,12 +121,17 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ki
     none = F.array().cast("array<string>")
     proposed = [F.when(F.col("text").contains(k.hint), F.regexp_extract_all("text", F.lit(k.pattern), 0)).otherwise(none).alias(f"m{i}") for i, k in enumerate(kinds)]
     rows = rows.select("doc_id", "text", *proposed)
-    found = rows.select("doc_id", "text", *[spans_of(k, i, F.col("text"), F.col(f"m{i}")).alias(f"s{i}") for i, k in enumerate(kinds)])
+    parts = rows.select("doc_id", "text", *[parts_of(k, F.col("text"), F.col(f"m{i}")).alias(f"p{i}") for i, k in enumerate(kinds)])
+    found = parts.select("doc_id", "text", *[spans_of(k, i, F.col(f"p{i}")).alias(f"s{i}") for i, k in enumerate(kinds)])
     return found.select("doc_id", "text", F.array_sort(F.concat(*[f"s{i}" for i in range(len(kinds))])).alias("spans"))
 
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds=KINDS) -> DataFrame:
-    """(doc_id, text): every span replaced by its kind in capitals and brackets; of overlapping spans the first one counts."""
+    """(doc_id, text), one row per input row: every span replaced by its kind in capitals and brackets.
+
+    Of overlapping spans the first one counts. Null texts become empty, ids may be null or repeated, extra columns are
+    ignored. Empty table: no rows.
+    """
     found = find_pii(docs, id_col, text_col, kinds)
 
     def step(acc: Column, s: Column) -> Column:

@@ -7,11 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.kernels import IS_SPACE, SEGMENT, groups, mix, strings, word_hashes
+from quire.llm.kernels import IS_SPACE, LOWER, SEGMENT, cuts_of, digests, groups, mix, strings, word_places
 from quire.llm.shared import fold, keep_only, stored, table
+from quire.session import ship
 
 #: A document is accepted from this score on.
 ACCEPT = 0.3
@@ -25,61 +26,66 @@ STATISTICS = (
 _B = np.arange(256)
 _CLASSES = {
     "upper": (_B >= 65) & (_B <= 90), "lower": (_B >= 97) & (_B <= 122), "digit": (_B >= 48) & (_B <= 57), "mark": np.isin(_B, list(b".,;:'\"()?-")), "shout": _B == ord("!"),
-    "symbol": np.isin(_B, list(b"#$%&*+/<=>@[\\]^_`{}~")), "bar": _B == ord("|"), "beyond": _B >= 128, "line": _B == 10,
+    "symbol": np.isin(_B, list(b"#$%&*+/<=>@[\\]^_`{}~")), "bar": _B == ord("|"), "beyond": _B >= 128, "solid": ~IS_SPACE,
 }
-
-
-def _per_text(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(text, weights=values, minlength=n)
+_MEMBERS = np.stack(list(_CLASSES.values())).astype(float)
 
 
 def _repeated(keys: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     """For each text, how many of its keys came before in it."""
+    if n == 1:
+        keys = np.sort(keys)
+        return np.array([(keys[1:] == keys[:-1]).sum()])
     both = mix(keys ^ mix(text.astype(np.uint64)))
-    order = np.argsort(both, kind="stable")
+    order = np.argsort(both)
     again = np.concatenate([[False], both[order][1:] == both[order][:-1]]) if len(both) else np.zeros(0, bool)
     return np.bincount(text[order][again], minlength=n)
 
 
+def _pieces(data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+    """Offsets of pieces that are looked at one after the other: all texts at once, or a single long text cut at white space."""
+    cuts = cuts_of(data, int(at[0]), int(at[-1]), SEGMENT) if len(at) == 2 else []
+    yield from (np.array(x) for x in zip(cuts, cuts[1:])) if len(cuts) > 2 else [at]
+
+
 def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A row of transformed STATISTICS for each text data[at[i]:at[i+1]]; an empty text has zeros before the transform."""
+    """A row of transformed STATISTICS for each text data[at[i]:at[i+1]]; an empty text has zeros before the transform.
+
+    A single long text is read in pieces, so beside the text only a few numbers for each of its words are held.
+    """
     n = len(at) - 1
-    part, own = data[at[0] : at[-1]], at - at[0]
-    sums = {}
-    for name, members in _CLASSES.items():
-        upto = np.concatenate([[0], np.cumsum(members[part])])
-        sums[name] = (upto[own[1:]] - upto[own[:-1]]).astype(float)
-    spaces = np.concatenate([[0], np.cumsum(IS_SPACE[part])])
-    solid = np.maximum(1.0, np.diff(own) - (spaces[own[1:]] - spaces[own[:-1]]))
-    hashes, text = word_hashes(data, at)
+    sums, found, line = np.zeros((n, len(_MEMBERS))), [], 0
+    for own in _pieces(data, at):
+        part, own = data[own[0] : own[-1]], own - own[0]
+        for lo in range(0, len(part), SEGMENT) if n == 1 else [0]:
+            seen = part[lo : lo + SEGMENT] if n == 1 else part
+            key = seen if n == 1 else np.repeat(np.arange(n) * 256, np.diff(own)) + seen
+            sums += np.bincount(key, minlength=n * 256).reshape(n, 256) @ _MEMBERS.T
+        starts, ends = word_places(part, own) if len(part) else (np.zeros(0, np.int64),) * 2
+        ended = np.flatnonzero(part == 10)
+        found.append((digests(LOWER[part], starts, ends)[0], np.searchsorted(own[1:], starts, side="right").astype(np.int32), np.minimum(ends - starts, 64).astype(np.int8), (line + np.searchsorted(ended, starts)).astype(np.int32)))
+        line += len(ended)
+    hashes, text, size, line_of = (np.concatenate(x) for x in zip(*found))
+    sums = dict(zip(_CLASSES, sums.T))
     words = np.bincount(text, minlength=n).astype(float)
-    most = np.maximum(1.0, words)
-    inside = ~IS_SPACE[part]
-    first = inside & np.concatenate([[True], ~inside[:-1]]) if len(part) else inside
-    heads = own[:-1][own[:-1] < own[1:]]
-    first[heads] = inside[heads]
-    starts = np.flatnonzero(first)
-    ends = np.concatenate([starts[1:], [len(part)]]) if len(starts) else starts
-    size = np.minimum(ends - starts, 64)  # up to the next word; long gaps don't matter
+    most, solid = np.maximum(1.0, words), np.maximum(1.0, sums["solid"])
+    share = lambda hit, text: np.bincount(text[hit], minlength=n) / most
 
     def share_equal(k: int) -> np.ndarray:
-        same = (hashes[k:] == hashes[:-k]) & (text[k:] == text[:-k]) if len(hashes) > k else np.zeros(0, bool)
-        return _per_text(same.astype(float), text[k:] if len(hashes) > k else text[:0], n) / most
+        return share((hashes[k:] == hashes[:-k]) & (text[k:] == text[:-k]), text[k:]) if len(hashes) > k else np.zeros(n)
 
     fives = hashes[:-4].copy() if len(hashes) > 4 else hashes[:0]
     for k in range(1, 5):
         fives = mix(fives ^ hashes[k : k + len(fives)] * np.uint64(0x9E3779B1)) if len(fives) else fives
     same = text[: len(fives)] == text[4 : 4 + len(fives)] if len(fives) else np.zeros(0, bool)
-    five_text = text[: len(fives)][same]
+    fives, five_text = fives[same], text[: len(same)][same]
     five_n = np.maximum(1.0, np.bincount(five_text, minlength=n))
-    line_of = np.cumsum(part == 10)
     line_key, line_text = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if len(hashes):
-        line = line_of[starts]
-        new = np.concatenate([[True], (line[1:] != line[:-1]) | (text[1:] != text[:-1])])
-        nth = np.cumsum(new) - 1
-        place = np.arange(len(hashes)) - np.flatnonzero(new)[nth]
-        line_key = np.add.reduceat(mix(hashes ^ mix(place.astype(np.uint64))), np.flatnonzero(new))
+        new = np.concatenate([[True], (line_of[1:] != line_of[:-1]) | (text[1:] != text[:-1])])
+        heads = np.flatnonzero(new)
+        place = np.arange(len(hashes)) - np.repeat(heads, np.diff(np.append(heads, len(hashes))))
+        line_key = np.add.reduceat(mix(hashes ^ mix(place.astype(np.uint64))), heads)
         line_text = text[new]
     lines = np.maximum(1.0, np.bincount(line_text, minlength=n))
     letters = np.maximum(1.0, sums["upper"] + sums["lower"] + sums["beyond"] / 2)
@@ -87,26 +93,26 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack(
         [
             np.log1p(words), np.log1p(solid / most), log(sums["upper"] / letters), log(sums["digit"] / solid), log(sums["mark"] / solid), log(sums["shout"] / solid), log(sums["symbol"] / solid),
-            log(sums["bar"] / solid), log(sums["beyond"] / solid), log(_per_text((size <= 4).astype(float), text, n) / most), log(share_equal(1)), log(share_equal(2)), log(1 - _repeated(hashes, text, n) / most),
-            log(_repeated(line_key, line_text, n) / lines), log(_repeated(fives[same], five_text, n) / five_n), np.log1p(words / lines), log(_per_text((size > 16).astype(float), text, n) / most),
+            log(sums["bar"] / solid), log(sums["beyond"] / solid), log(share(size < 4, text)), log(share_equal(1)), log(share_equal(2)), log(1 - _repeated(hashes, text, n) / most),
+            log(_repeated(line_key, line_text, n) / lines), log(_repeated(fives, five_text, n) / five_n), np.log1p(words / lines), log(share(size > 15, text)),
         ],
         axis=1,
     )
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, x): the statistics of every whole text; null counts as empty."""
+def measured(text: Column) -> Column:
+    """The statistics of a whole text; null counts as empty. Only the texts go to Python, the rest of a row stays in the JVM."""
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("array<double>")
+    def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         keep_only("statistics")
-        for batch in batches:
-            data, at = strings(batch.column(1))
+        for column in batches:
+            data, at = strings(column)
             rows = [statistics(data, own) for _, own in groups(data, at, SEGMENT)]
             x = np.concatenate(rows) if rows else np.zeros((0, len(STATISTICS)))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(STATISTICS)), pa.array(x.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "x"])
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(STATISTICS)), pa.array(x.reshape(-1)))
 
-    return docs.selectExpr(f"CAST(`{id_col}` AS BIGINT) AS doc_id", f"`{text_col}` AS text").mapInArrow(measure, "doc_id long, x array<double>")
+    return measure(text)
 
 
 @dataclass(frozen=True)
@@ -159,9 +165,21 @@ def fit(rows: DataFrame, shrink: float = SHRINK, ridge: float = RIDGE) -> Discri
 
 def learned(x: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Discriminant | None:
     """The model of all labelled documents outside the held-out fold."""
-    ids, label = F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")
+    ids, label = F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")
     known = labels.select(ids, label).filter((fold(F.col("doc_id")) != 0) & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").alias("label"))
-    return fit(x.join(known, "doc_id"))
+    return fit(x.select("doc_id", "x").join(known, "doc_id"))
+
+
+def scored(x: Column, model: Discriminant | None) -> Column:
+    """The score of each row of statistics; 1 without a model."""
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            own = np.array(column.flatten()).reshape(-1, len(STATISTICS))
+            yield pa.array(model.scores(own))
+
+    return score(x) if model else F.lit(1.0)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", accept: float = ACCEPT) -> DataFrame:
@@ -172,33 +190,22 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     An empty text is scored like any other. With fewer than two labelled documents of a class, every score is 1. Empty
     table: no rows.
     """
-    x = stored(measured(docs, id_col, text_col), "statistics")
-    model = learned(x, labels, id_col, label_col)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = np.array(batch.column(1).flatten()).reshape(-1, len(STATISTICS))
-            s = model.scores(own) if model else np.ones(len(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], names=["doc_id", "score"])
-
-    scored = x.mapInArrow(score, "doc_id long, score double")
-    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
+    ship(docs.sparkSession)
+    x = stored(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), measured(F.col(f"`{text_col}`")).alias("x")), "statistics")
+    found = x.select("doc_id", scored(F.col("x"), learned(x, labels, id_col, label_col)).alias("score"))
+    return found.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
 
 
 def accepted_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", accept: float = ACCEPT) -> DataFrame:
-    """The documents that the classifier accepts, with their own columns; each row is judged by its own text."""
-    model = learned(stored(measured(docs, id_col, text_col), "statistics"), labels, id_col, label_col)
-    at = docs.columns.index(text_col)
+    """The documents that the classifier accepts, with their own columns, whatever their names.
 
-    def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_only("statistics")
-        for batch in batches:
-            data, offsets = strings(batch.column(at))
-            rows = [statistics(data, own) for _, own in groups(data, offsets, SEGMENT)]
-            good = model.scores(np.concatenate(rows)) >= accept if model and rows else np.ones(len(batch), bool)
-            yield batch.filter(pa.array(good))
-
-    return docs.mapInArrow(accepted, docs.schema)
+    Each row is judged by its own text, so repeated rows stay or go alike; null text is empty. Labels are read as by
+    classify(); without a model all documents stay. Empty table: no rows.
+    """
+    ship(docs.sparkSession)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), measured(F.col(f"`{text_col}`")).alias("x"))
+    held = stored(held, "statistics")
+    return held.filter(scored(F.col("x"), learned(held, labels, id_col, label_col)) >= accept).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -16,24 +17,39 @@ SPACE = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where that is unset (tests) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir. Only where that is unset and there is no executor but this
+    machine's own (tests), a temporary one; on a cluster, tables there would be lost, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jvm.isDefined():
         return jvm.get()
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage by a Parquet table in the shared folder: it survives lost executors and can be read by column."""
+    """Cut the lineage by a Parquet table in the shared folder: it survives lost executors and can be read by column.
+    forget() removes it."""
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.quire_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that stored() made, once nothing that is still to run reads them."""
+    for df in tables:
+        spark, path = df.sparkSession, df.__dict__.get("quire_path")
+        if path:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

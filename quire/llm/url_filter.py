@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.llm.shared import stored, table
+from quire.llm.shared import forget, stored, table
 
 #: (verdict, rule): host, then path. A rule fits its host and all subdomains if the path starts with the rule's path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: A host with one of these terms is a rejected example for the models, as is a URL that a rule blocks.
-SEED_TERMS = ("casino", "spam", "adult", "ads-", "pills", "bets", "porn", "viagra", "torrent")
 #: Characters of a window: seven of context and the one predicted. Signs are the characters as they are, so the model grows
 #: with the URLs and is joined by shuffle.
 ORDER = 8
@@ -69,12 +67,12 @@ def ratios(grams: DataFrame, order: int = 4, signs: int = 32) -> DataFrame:
 
 
 def calibrated(scored: DataFrame) -> float:
-    """The threshold, on a grid of hundredths, where accepted and rejected URLs of the held-out fold are best told apart.
+    """The threshold, on a grid of hundredths, where labelled URLs of the held-out fold are best told apart.
 
     Best: the largest sum of the shares of both that are judged right; ties go to the threshold nearest 0, then the lower
     one. Without held-out URLs of both kinds: 0.
     """
-    bins = scored.filter("held").groupBy(F.floor(F.col("score") * 100).alias("b")).agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("r"))
+    bins = scored.filter("held AND label IS NOT NULL").groupBy(F.floor(F.col("score") * 100).alias("b")).agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("r"))
     # the logs of P are at least ORDER times those of 1 / (all + signs), so the grid has some ten thousands of bins at most
     upto, every = W.orderBy("b").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
     found = (
@@ -87,25 +85,24 @@ def calibrated(scored: DataFrame) -> float:
     return found[0] / 100 if found else 0.0
 
 
-def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, seed_terms=SEED_TERMS) -> DataFrame:
-    """(page_id, host, path, rule, verdict, score), one row per input row.
+def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, label_col: str | None = None) -> DataFrame:
+    """(page_id, host, path, rule, verdict, score, held_out), one row per input row.
 
-    The models learn from every URL: one that a rule blocks or whose host has a seed term is rejected, any other accepted;
-    a fifth of all, by crc32 of the URL, only calibrates the threshold. score is the mean log-likelihood difference per
-    sign; a URL without rule is allowed if it reaches the threshold. Null and empty URLs
-    have an empty host and path and are scored as an empty string. Repeated rows give repeated results. Empty table: no rows.
+    The models learn from labelled URLs: by label_col (1 accepted, 0 rejected, anything else none) if it is given, else a
+    URL that a rule allows is accepted, one that a rule blocks is rejected, and those without a rule have no label. No list
+    of words takes part. Of the labelled URLs a fifth, by crc32 of the URL, only calibrates the threshold. Every window of
+    every URL is scored, those seen under no label by their shorter contexts. score is the mean log-likelihood difference
+    per sign; a URL without rule is allowed if it reaches the threshold. Null and empty URLs have an empty host and path
+    and are scored as an empty string. Without labels all scores are 0 and all URLs without rule are allowed. Repeated rows
+    give repeated results, extra columns are ignored. Empty table: no rows.
     """
-    url = F.col(url_col)
+    url = F.col(f"`{url_col}`")
     host, path = host_and_path(url)
-    base = pages.select(F.col(id_col).alias("page_id"), url.alias("url"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
+    base = pages.select(F.col(f"`{id_col}`").alias("page_id"), url.alias("url"), host.alias("host"), path.alias("path"), (F.col(f"`{label_col}`") if label_col else F.lit(None)).cast("int").alias("given"))
     base = base.select("*", rule.alias("rule"), verdict.alias("said"), (F.crc32(F.coalesce("url", F.lit("")).cast("binary")) % 5 == 0).alias("held"))
-    base = base.withColumn("row", F.monotonically_increasing_id())
-    bad = F.lit(False)
-    for term in seed_terms:
-        bad = bad | F.col("host").contains(term)
-    label = F.when(bad | F.coalesce(F.col("said") == "block", F.lit(False)), 0).otherwise(1)
-    urls = stored(base.select("row", "page_id", "url", "held", label.alias("label")), "urls")
+    known = F.when(F.col("given").isin(0, 1), F.col("given")) if label_col else F.when(F.col("said") == "allow", 1).when(F.col("said") == "block", 0)
+    urls = stored(base.select(F.monotonically_increasing_id().alias("row"), "page_id", "url", "held", known.alias("label")), "urls")
     spread = urls.select("row", "held", "label", F.explode(windows(F.col("url"))).alias("gram"))
     learns = ~F.col("held")
     grams = stored(spread.groupBy("gram").agg(*[F.sum(F.when(learns & (F.col("label") == v), 1).otherwise(0)).alias(c) for c, v in (("accepted", 1), ("rejected", 0))]), "grams")
@@ -114,10 +111,11 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     means = spread.select("row", "gram").join(model, "gram").groupBy("row").agg((F.sum("llr") / F.count("*") / 1e6).alias("score"))
     scored = stored(urls.join(means, "row").select("page_id", "url", "held", "label", "score"), "scores")
     least = calibrated(scored)
+    forget(urls, grams, model)
     host, path = host_and_path(F.col("url"))
-    out = scored.select("page_id", host.alias("host"), path.alias("path"), "score")
+    out = scored.select("page_id", host.alias("host"), path.alias("path"), "score", "held")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") >= least, "allow").otherwise("block")).alias("verdict"), "score")
+    return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") >= least, "allow").otherwise("block")).alias("verdict"), "score", F.col("held").alias("held_out"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

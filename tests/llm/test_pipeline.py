@@ -41,3 +41,20 @@ def test_pipeline(spark):
         got[r["doc_id"]] += r["length"]
         tokens[r["doc_id"]] = r["doc_tokens"]
     assert {i: n // tokens[i] for i, n in got.items()} == dict(want) and all(got[i] % tokens[i] == 0 for i in got)
+
+
+def test_pipeline_on_nulls_repeats_and_other_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(90)]
+    texts = [None, "", " ", "a", *(" ".join(words[k : k + 60]) for k in range(0, 30, 6)), " ".join(words[:60]), "x" * 5000]
+    data = [(i, t, None if i == 3 else f"s{(i or 0) % 2}", 1, 2, "z") for i, t in [*enumerate(texts), (1, ""), (None, "b")]]
+    ddl = "doc_id long, text string, source string, row int, place long, set_id string"
+    spark.createDataFrame(data, ddl).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(11)] + [(None, 1), (4, None)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert got and {r["doc_id"] for r in got} <= {i for i, *_ in data}
+    empty = tmp_path / "none"
+    spark.createDataFrame([], ddl).write.parquet(str(empty / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(empty / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
