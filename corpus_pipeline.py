@@ -13,29 +13,44 @@ from quire.session import ship
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the labels of the corpus."""
+    """Documents that the quality classifier accepts; it learns from the labels of the corpus.
+
+    Null texts are empty, repeated rows are judged each, without labels all stay. Empty table: no rows.
+    """
     return quality.accepted_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text: the longest as written, then that with the smallest id.
+
+    Null and blank texts are one text, of repeated rows one stays, a null id comes last. Empty table: no rows.
+    """
     ship(spark)
     return exact_dedup.kept_documents(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id."""
+    """One document of each group of near copies, that with the smallest id.
+
+    Null and blank texts have no near copies and stay. Rows repeated with one id stay or go together. Empty table: no rows.
+    """
     ship(spark)
     return minhash.kept_documents(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the temperature mixture takes them."""
+    """Documents as often as the temperature mixture takes them.
+
+    A null source is a source of its own, documents without words cost nothing, repeated rows count each. Empty table: no rows.
+    """
     return mixing.mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
+    """Pieces of documents in sequences of 2048 tokens.
+
+    A null or empty text is its end token alone, repeated rows are packed each. Empty table: no rows.
+    """
     ship(spark)
     return packing.pack(docs)
 
