@@ -184,7 +184,9 @@ def links_of(signed: DataFrame, docs: DataFrame) -> DataFrame:
     full = stored(full.groupBy("set_id").agg(F.first("elements").alias("elements")), "elements")
     sizes = sets.select(F.col("set_id").alias("lead"), F.col("n").alias("lead_n"))
     star = members.filter(F.col("set_id") != F.col("lead")).select("lead", "set_id", "n").distinct().join(sizes, "lead").filter(near_size(F.col("n"), F.col("lead_n")))
-    links = stored(verified(star.select(F.col("lead").alias("a"), F.col("set_id").alias("b")), full), "links")
+    # a table, so that the joins deal these rows anew and Spark can split a leader with very many members
+    pairs = stored(star.select(F.col("lead").alias("a"), F.col("set_id").alias("b")), "pairs")
+    links = stored(verified(pairs, full), "links")
     roots = components(links)
     rest = members.filter(F.col("set_id") != F.col("lead")).join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     rest = stored(rest.select("bucket", "band", "set_id", "n", F.coalesce("root", "set_id").alias("root")), "rest")
@@ -197,7 +199,7 @@ def links_of(signed: DataFrame, docs: DataFrame) -> DataFrame:
     held = dealt.join(full, "set_id").join(sets.select("set_id", "bands"), "set_id")
     more = stored(held.groupBy("bucket", "low", "high").applyInArrow(_block_links, "a binary, b binary").distinct(), "links")
     out = components(links.unionByName(more))
-    forget(sets, members, wanted, full, links, roots, rest, dealt, more)
+    forget(sets, members, wanted, full, pairs, links, roots, rest, dealt, more)
     return out
 
 
