@@ -37,6 +37,12 @@ def list_markers(lines: DataFrame) -> DataFrame:
     return lines.select("doc_id", "line_no", F.regexp_count("line", F.lit(" (?:[0-9]{1,2}\\.|[a-z]\\)) ")).alias("markers")).filter("markers > 0")
 
 
+def split_at_markers(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, nth, part): a line cut before each list marker in it, so that every item stands by itself."""
+    cut = F.split(F.regexp_replace("line", " ((?:[0-9]{1,2}\\.|[a-z]\\)) )", "\n$1"), "\n")
+    return lines.select("doc_id", "line_no", F.posexplode(cut).alias("nth", "part"))
+
+
 def prose(lines: DataFrame) -> DataFrame:
     """(doc_id, block, text, first_line, n_lines): lines joined to paragraphs.
 

@@ -7,10 +7,41 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def role(width: Column, height: Column, page_width: Column, page_height: Column) -> Column:
-    """chapter_heading for wide flat strips, full_page_illustration, illustration, or null for small ones."""
-    w, h, aspect = width / page_width, height / page_height, width / height
-    return F.when((w >= 0.45) & (h <= 0.3) & (aspect >= 1.8), "chapter_heading").when((w >= 0.6) & (h >= 0.55), "full_page_illustration").when((w >= 0.3) & (h >= 0.2), "illustration")
+# Least width, heights and shapes of arches and strips over a chapter, of full pages, of spreads, all as shares.
+WIDTH, FULL_HEIGHT, SPREAD_HEIGHT, MOST_SHAPE = 0.33, 0.58, 0.72, 1.35
+ARCH_HEIGHT, ARCH_SHAPE, PLATE_SHAPE, PLATE_HEIGHT = (0.28, 0.57), (0.55, 1.35), 1.05, 0.42
+STRIP_HEIGHT, STRIP_SHAPE, HEADING_PX = (0.10, 0.28), 1.45, 36
+
+#: Roles from w and h (shares of the page), shape (width by height) and height (pixels), in SQL that Spark and DuckDB share.
+_STRIP = f"(h BETWEEN {STRIP_HEIGHT[0]} AND {STRIP_HEIGHT[1]} AND shape >= {STRIP_SHAPE})"
+_ARCH = f"(w >= 0.45 AND h BETWEEN {ARCH_HEIGHT[0]} AND {ARCH_HEIGHT[1]} AND shape BETWEEN {ARCH_SHAPE[0]} AND {ARCH_SHAPE[1]})"
+_SQUARE = f"(w >= 0.55 AND shape BETWEEN 0.95 AND {MOST_SHAPE})"
+_BANNER = f"(h >= 0.06 AND h < {FULL_HEIGHT} AND NOT (shape < {PLATE_SHAPE} AND h >= {PLATE_HEIGHT}) AND ({_STRIP} OR {_ARCH} OR {_SQUARE}))"
+ROLE_SQL = (
+    f"CASE WHEN w IS NULL OR h IS NULL OR w <= 0 OR h <= 0 OR w < {WIDTH} THEN NULL WHEN {_BANNER} THEN 'chapter_heading' WHEN h >= {FULL_HEIGHT} THEN 'full_page_illustration' "
+    f"WHEN height >= {HEADING_PX} AND w >= 0.55 AND h >= 0.06 AND shape BETWEEN 1.05 AND {MOST_SHAPE} THEN 'chapter_heading' WHEN w >= 0.45 OR w * h >= 0.12 THEN 'illustration' END"
+)
+
+
+def shares(images: DataFrame) -> DataFrame:
+    """images (width, height, page_width, page_height) with w, h and shape; null where a side is missing or zero."""
+    part = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
+    return images.withColumn("w", part("width", "page_width")).withColumn("h", part("height", "page_height")).withColumn("shape", part("width", "height"))
+
+
+def with_roles(images: DataFrame) -> DataFrame:
+    """images with role: chapter_heading for arches, strips and wide squares over a chapter, full_page_illustration for tall
+    ones, illustration for others of some size, else null."""
+    return shares(images).withColumn("role", F.expr(ROLE_SQL)).drop("w", "h", "shape")
+
+
+def spread_halves(images: DataFrame, order: str = "seq") -> DataFrame:
+    """images (doc_id, page, order, role, height, page_height) that are the right half of a spread: a full page of nearly the
+    whole height right after such a one on the page before."""
+    tall = F.coalesce((F.col("role") == "full_page_illustration") & (F.try_divide("height", "page_height") >= SPREAD_HEIGHT), F.lit(False))
+    before = W.partitionBy("doc_id").orderBy("page", order)
+    met = images.withColumn("tall", tall).withColumn("was", F.lag("tall").over(before)).withColumn("on", F.lag("page").over(before))
+    return met.filter(F.col("tall") & F.col("was") & (F.col("on") == F.col("page") - 1)).drop("tall", "was", "on")
 
 
 def decorative_documents(images: DataFrame, text_chars: DataFrame, pages: int = 20, share: float = 0.85, chars: int = 120) -> DataFrame:

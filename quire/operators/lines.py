@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators.drops import explained
 
 #: Pages on which a line makes it a running header.
 RECURRING = 3
@@ -17,30 +18,10 @@ def recurring(lines: DataFrame, least: int = RECURRING) -> DataFrame:
     return lines.groupBy("source", "line").agg(F.countDistinct("doc_id").alias("pages"), F.min("doc_id").alias("first_page")).filter(F.col("pages") >= least)
 
 
-def reason(line: Column, pages: Column) -> Column:
-    """Why a line goes (drop-...) or stays (keep-...), by the first rule that holds."""
-    return (
-        F.when(F.trim(line) == "", "drop-empty")
-        .when(line.rlike("^[-]?\\s*[0-9]{1,4}\\s*[-]?$"), "drop-standalone-page-number")
-        .when(line.rlike("^(https?://|www\\.)\\S+$"), "drop-url")
-        .when(line.rlike("(?i)(copyright|all rights reserved|licen[cs]e)"), "drop-licence")
-        .when((pages >= RECURRING) & (F.length(line) <= 96), "drop-recurring-line-running-header")
-        .when(~line.rlike("[a-z]") & line.rlike("[A-Z]") & (F.length(line) <= 60), "keep-capitals")
-        .when(line.rlike("[.!?]$"), "keep-sentence")
-        .otherwise("keep-default")
-    )
-
-
-def with_reasons(lines: DataFrame) -> DataFrame:
-    """lines with the number of pages of their book that have them, and the reason."""
-    stats = lines.groupBy("source", "line").agg(F.countDistinct("doc_id").alias("pages"))
-    return lines.join(stats, ["source", "line"]).withColumn("reason", reason(F.col("line"), F.col("pages")))
-
-
 def drops(lines: DataFrame) -> DataFrame:
     """The trace of dropped lines, with the lines around each on its page."""
     page = W.partitionBy("doc_id").orderBy("line_no")
-    near = with_reasons(lines).withColumn("prev", F.lag("line").over(page)).withColumn("next", F.lead("line").over(page))
+    near = explained(lines).withColumn("prev", F.lag("line").over(page)).withColumn("next", F.lead("line").over(page))
     return near.filter(F.col("reason").startswith("drop-")).select("doc_id", "line_no", "reason", "line", "prev", "next")
 
 
@@ -56,18 +37,23 @@ def page_ranks(lines: DataFrame) -> DataFrame:
     return ids.withColumn("nth", nth).join(base, ["source", "range"]).select("source", "doc_id", (F.col("base") + F.col("nth")).alias("page"))
 
 
-def echoes(pieces: DataFrame, low: int = 12, high: int = 96) -> DataFrame:
-    """(source, doc_id, piece_no, piece): pieces that a longer piece on the page before or after contains.
+def echoes(pieces: DataFrame, low: int = 12, high: int = 96, longer: int = 8) -> DataFrame:
+    """(source, doc_id, piece_no, piece): pieces that don't end a sentence and that a piece on the page before or after, longer
+    by more than so many characters, contains.
 
-    An equi-join of neighbouring pages with containment as what is left to test; never all pieces of a book.
+    A piece meets each neighbouring page as one row with all its pieces. Whether the page's whole text has it comes first;
+    only then its pieces are looked at one by one. With columns centred and heading, such pieces take no part.
     """
     ranks = page_ranks(pieces)
     placed = pieces.join(ranks, ["source", "doc_id"])
-    short = placed.filter(F.length("piece").between(low, high)).withColumn("near", F.explode(F.array(F.col("page") - 1, F.col("page") + 1)))
-    other = placed.filter(F.length("piece") > low).select("source", F.col("page").alias("near"), F.col("piece").alias("other"))
-    holds = (F.length("other") > F.length("piece")) & F.expr("contains(other, piece)")
-    keys = ["source", "near"]
-    return short.join(other, keys).filter(holds).select("source", "doc_id", "piece_no", "piece").distinct()
+    whole = placed.groupBy("source", F.col("page").alias("near")).agg(F.collect_list("piece").alias("others"))
+    whole = whole.withColumn("text", F.array_join("others", "\n"))
+    short = placed.filter(F.length("piece").between(low, high) & ~F.col("piece").rlike("[.!?][”\"’']?\\s*$"))
+    for flag in ("centred", "heading"):
+        short = short.filter(~F.coalesce(F.col(flag), F.lit(False))) if flag in pieces.columns else short
+    short = short.withColumn("near", F.explode(F.array(F.col("page") - 1, F.col("page") + 1)))
+    holds = F.exists("others", lambda o: (F.length(o) > F.length("piece") + longer) & F.contains(o, F.col("piece")))
+    return short.join(whole, ["source", "near"]).filter(F.contains("text", "piece")).filter(holds).select("source", "doc_id", "piece_no", "piece").distinct()
 
 
 def pieces(docs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators.drops import LABELS, NUMBERS, SECTIONS
 
 
 def density(rows: DataFrame, key: str, order: str, flag: str, width: int = 20, most: int = 3) -> DataFrame:
@@ -31,6 +32,53 @@ def watermarks(lines: DataFrame) -> DataFrame:
     return lines.filter(F.lower("line").rlike("https?://|www\\.|@[a-z0-9-]+\\.")).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+# Words that leave a heading or sentence open, ends of a sentence, opening quotes.
+DANGLING = "of|the|a|an|and|but|or|nor|for|yet|so|left|fell|was|be|in|to|with|from|at|by|on|as|into|upon|about|over|after|before|through"
+PRONOUNS = "he|she|it|they|his|her|its|their|who|which"
+ENDED, QUOTED, OPEN = r"[.!?][”\"’']?\s*$", r"^[“‘\"']", r"[,;:—–…-]\s*$"
+_NUMBER = f"(?:\\d{{1,3}}|[ivxlcdm]+|{NUMBERS})"
+STRUCTURAL = rf"(?i)^(?:(?:{SECTIONS})\s+{_NUMBER}(?:\.?\s*$|\s*[-—–]\s+\S)|(?:{LABELS}|dedication|contents)\.?$)"
+
+
+def false_headings(blocks: DataFrame) -> DataFrame:
+    """blocks (doc_id, pos, text, is_heading) whose heading can't be one: it breaks off, begins or goes on a sentence, or is
+    too long. Structural labels and lines of credit are none of these."""
+    rows = blocks.filter("is_heading").withColumn("t", T.trimmed(F.coalesce("text", F.lit("")))).filter("t <> ''")
+    t, words = F.col("t"), F.size(F.split("t", r"\s+"))
+    bare = F.filter(F.transform(F.split("t", r"\s+"), lambda w: F.regexp_replace(w, "[^A-Za-z]", "")), lambda w: F.length(w) > 0)
+    titled = F.forall(bare, lambda w: w.rlike("^[A-Z]"))
+    fine = t.rlike(STRUCTURAL) | t.rlike(r"(?i)^To\s+.+\s+And$") | t.rlike(r"^by\s+[A-Z]")
+    broken = (t.rlike(OPEN) | t.rlike(rf"(?i)\b(?:{DANGLING})\s*$")) & ~(titled & (words == 1))
+    begun = t.rlike("^[a-z]") & ~t.rlike(ENDED) & ~t.rlike(r"[”\"’']\s*$")
+    goes_on = t.rlike(rf"(?i)^(?:{PRONOUNS})\b") & ~titled
+    return rows.filter(~fine & (broken | begun | (F.length("t") > 120) | goes_on)).select("doc_id", "pos", "text")
+
+
+def chapter_faults(chapters: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, pos, fault) from chapters (doc_id, pos, title) and pages (doc_id, pages): none, empty, short, long, sentence
+    or repeated titles; a book of over 50 pages without a chapter has a row without pos."""
+    t = F.col("t")
+    rows = chapters.withColumn("t", T.trimmed(F.coalesce("title", F.lit(""))))
+    roman = t.rlike(r"(?i)^(?:Part\s+)?[IVXLCDM]{1,6}\.?$")
+    fine = roman | t.rlike(rf"(?i)^chapter\s+{_NUMBER}(?:\.?$|\s*[-—–]\s+\S)") | t.rlike(r"(?i)—\s*Chapter\s+\d+\.?\s*$") | t.rlike(r"^(?:VOLUME|Volume|BOOK|Book|PART|Part)\b")
+    short_form = t.rlike(r"(?:\b(?:Mr|Mrs|Ms|Miss|Dr|St|Jr|Sr|Prof)\.|\b[A-Z]\.)\s*$")
+    n = F.length("t")
+    fault = F.when(n == 0, "empty").when((n < 2) & ~roman, "short").when((n > 400) | ((n > 150) & ~fine), "long").when(t.rlike(r"\.\s*$") & ~fine & ~short_form, "sentence")
+    named = rows.select("doc_id", "pos", fault.alias("fault")).filter("fault IS NOT NULL")
+    again = rows.withColumn("before", F.lag("t").over(W.partitionBy("doc_id").orderBy("pos"))).filter("t <> '' AND t = before").select("doc_id", "pos", F.lit("repeated").alias("fault"))
+    none = pages.filter("pages > 50").join(chapters, "doc_id", "left_anti").select("doc_id", F.lit(None).cast(chapters.schema["pos"].dataType).alias("pos"), F.lit("none").alias("fault"))
+    return named.unionByName(again).unionByName(none)
+
+
+def split_dialogue(blocks: DataFrame) -> DataFrame:
+    """blocks (doc_id, pos, text, is_heading) of short speech that stand apart from prose which does not end before them."""
+    before = W.partitionBy("doc_id").orderBy("pos")
+    rows = blocks.withColumn("t", T.trimmed(F.coalesce("text", F.lit("")))).withColumn("b", F.lag("t").over(before)).withColumn("head", F.lag("is_heading").over(before))
+    t, b = F.col("t"), F.col("b")
+    open_ = (b != "") & ~F.coalesce("head", F.lit(False)) & ~b.rlike(QUOTED) & ~b.rlike(ENDED) & ~b.rlike(r"[,;:—–-]\s*$")
+    return rows.filter(t.rlike(QUOTED) & (F.length("t") < 80) & open_).select("doc_id", "pos", "text")
+
+
 def word_ratio(parsed: DataFrame, raw: DataFrame, least: float = 0.9) -> DataFrame:
     """(doc_id, ratio, ok): words that parsing kept."""
     a, b = (d.select("doc_id", T.word_count(F.col("text")).alias(n)) for d, n in ((parsed, "a"), (raw, "b")))
@@ -55,7 +103,7 @@ def sampled(rows: DataFrame, key, n: int, seed: int = 1) -> DataFrame:
 
 
 def profile(lines: DataFrame) -> DataFrame:
-    """(doc_id, blocks, words, first, last, print): what a snapshot keeps of a document."""
+    """(doc_id, blocks, first, last, print): what a snapshot keeps of a document."""
     texts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
     made = lines.groupBy("doc_id").agg(F.count("*").cast("long").alias("blocks"), texts.alias("t"))
     return made.select("doc_id", "blocks", F.left(F.element_at("t", 1), F.lit(40)).alias("first"), F.left(F.element_at("t", -1), F.lit(40)).alias("last"), F.left(F.sha2(F.array_join("t", "\n"), 256), F.lit(12)).alias("print"))
@@ -71,13 +119,16 @@ def profile_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def alike_titles(titles: DataFrame) -> DataFrame:
     """(a, b), a < b: different titles that T.fuzzy_title() takes for one, both with a key of nine characters or more.
 
-    An edit distance of four leaves one of five parts of a key as it was, moved by four places at most. So keys meet by the
-    length of one, the number of a part, and its text; no pair is lost and not all pairs are made.
+    Such a pair differs in at most d places, where d grows with the length up to four. So of d + 1 parts of one key one is as
+    it was in the other, moved by d places at most, and the lengths differ by no more: keys meet by the length of one, the
+    number of a part, and its text. Parts are as long as d allows, which keeps the rows for a part few. No pair is lost.
     """
     rows = titles.select("title", T.title_key(F.col("title")).alias("key")).distinct().withColumn("n", F.length("key")).filter("n >= 9")
-    part = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")
-    lo, hi = F.floor(F.col("m") * F.col("i") / 5).cast("int"), F.floor(F.col("m") * (F.col("i") + 1) / 5).cast("int")
-    left = rows.select("title", F.col("n").alias("m"), "key", part).select(F.col("title").alias("a"), "m", "i", F.substr("key", lo + 1, hi - lo).alias("text"))
-    spots = rows.select("title", "key", F.explode(F.sequence(F.col("n") - 4, F.col("n") + 4)).alias("m")).select("title", "key", "m", part).select("title", "key", "m", "i", F.explode(F.sequence(F.lit(-4), F.lit(4))).alias("d"))
-    right = spots.filter(lo + F.col("d") >= 0).select(F.col("title").alias("b"), "m", "i", F.substr("key", lo + F.col("d") + 1, hi - lo).alias("text"))
+    most = F.least(F.lit(4), F.floor(0.12 * (F.col("m") + 4) + 1e-9)).cast("int")  # the other key has up to m + 4 characters
+    part = F.explode(F.sequence(F.lit(0), F.col("d"))).alias("i")
+    lo, hi = (F.floor(F.col("m") * (F.col("i") + k) / (F.col("d") + 1)).cast("int") for k in (0, 1))
+    left = rows.select("title", F.col("n").alias("m"), "key").withColumn("d", most).select("title", "m", "key", "d", part).select(F.col("title").alias("a"), "m", "i", F.substr("key", lo + 1, hi - lo).alias("text"))
+    spots = rows.select("title", "key", "n", F.explode(F.sequence(F.col("n") - 4, F.col("n") + 4)).alias("m")).filter("m >= 9").withColumn("d", most).filter(F.abs(F.col("n") - F.col("m")) <= F.col("d"))
+    spots = spots.select("title", "key", "m", "d", part).select("title", "key", "m", "i", "d", F.explode(F.sequence(-F.col("d"), F.col("d"))).alias("by"))
+    right = spots.filter(lo + F.col("by") >= 0).select(F.col("title").alias("b"), "m", "i", F.substr("key", lo + F.col("by") + 1, hi - lo).alias("text"))
     return left.join(right, ["m", "i", "text"]).filter("a < b").select("a", "b").distinct().filter(T.fuzzy_title(F.col("a"), F.col("b")))

@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import blocks, catalog, chapters, counts, export, images, quality, reader
 from quire.operators import lines as L
+from quire.operators.drops import REASONS_SQL, explained
 from quire.sources.tables import LINES_SQL, lines, table
 from quire.streaming import progress
 
@@ -64,18 +66,12 @@ def recurring_lines(spark, d):
     return L.recurring(_lines(spark, d))
 
 
-_REASONS = (
-    f"WITH {LINES_SQL}, s AS (SELECT source, line, count(DISTINCT doc_id) AS pages FROM l GROUP BY source, line), "
-    "r AS (SELECT l.doc_id, l.line_no, l.line, CASE WHEN trim(l.line) = '' THEN 'drop-empty' WHEN regexp_matches(l.line, '^[-]?\\s*[0-9]{1,4}\\s*[-]?$') THEN 'drop-standalone-page-number' "
-    "WHEN regexp_matches(l.line, '^(https?://|www\\.)\\S+$') THEN 'drop-url' WHEN regexp_matches(l.line, '(?i)(copyright|all rights reserved|licen[cs]e)') THEN 'drop-licence' "
-    "WHEN s.pages >= 3 AND length(l.line) <= 96 THEN 'drop-recurring-line-running-header' WHEN NOT regexp_matches(l.line, '[a-z]') AND regexp_matches(l.line, '[A-Z]') AND length(l.line) <= 60 THEN 'keep-capitals' "
-    "WHEN regexp_matches(l.line, '[.!?]$') THEN 'keep-sentence' ELSE 'keep-default' END AS reason FROM l JOIN s ON l.source = s.source AND l.line = s.line) "
-)
+_REASONS = f"WITH {LINES_SQL}, {REASONS_SQL}"
 
 
 @query(_REASONS + "SELECT reason, count(*) AS n, count(DISTINCT doc_id) AS docs FROM r GROUP BY reason")
 def line_drop_reasons(spark, d):
-    return L.with_reasons(_lines(spark, d)).groupBy("reason").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    return explained(_lines(spark, d)).groupBy("reason").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
 @query(_REASONS + "SELECT doc_id, line_no, reason, line, prev, next FROM (SELECT *, lag(line) OVER w AS prev, lead(line) OVER w AS next FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)) x WHERE starts_with(reason, 'drop-')")
@@ -84,12 +80,11 @@ def line_drop_trace(spark, d):
 
 
 @query(
-    _PIECES + ", g AS (SELECT source, doc_id, dense_rank() OVER (PARTITION BY source ORDER BY doc_id) AS page, piece_no, lower(regexp_replace(piece, '[.!?]+$', '')) AS piece FROM p) "
-    "SELECT DISTINCT a.source, a.doc_id, a.piece_no, a.piece FROM g a JOIN g b ON a.source = b.source AND abs(a.page - b.page) = 1 AND length(a.piece) BETWEEN 8 AND 96 AND length(b.piece) > length(a.piece) AND contains(b.piece, a.piece)"
+    _PIECES + ", g AS (SELECT source, doc_id, dense_rank() OVER (PARTITION BY source ORDER BY doc_id) AS page, piece_no, piece FROM p) "
+    "SELECT DISTINCT a.source, a.doc_id, a.piece_no, a.piece FROM g a JOIN g b ON a.source = b.source AND abs(a.page - b.page) = 1 AND length(a.piece) BETWEEN 12 AND 96 AND NOT regexp_matches(a.piece, '[.!?][”\"’'']?\\s*$') AND length(b.piece) > length(a.piece) + 8 AND contains(b.piece, a.piece)"
 )
 def adjacent_page_echo(spark, d):
-    bare = F.lower(F.regexp_replace("piece", "[.!?]+$", ""))
-    return L.echoes(L.pieces(_docs(spark, d)).withColumn("piece", bare), low=8)
+    return L.echoes(L.pieces(_docs(spark, d)))
 
 
 @query(_LINES + "SELECT doc_id, count(*) AS n, CAST(list_sort(list(length(line)))[count(*) // 2 + 1] AS INTEGER) AS median FROM l GROUP BY doc_id")
@@ -135,10 +130,9 @@ def chapter_dedupe_order(spark, d):
     return blocks.first_copies(_lines(spark, d))
 
 
-@query("SELECT c_custkey, n_name AS title, r_name AS part FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 2 = 0 LEFT JOIN region ON n_regionkey = r_regionkey")
+@query("SELECT c_custkey, n_name AS title, r_name AS part FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
 def toc_lookup_left(spark, d):
-    nation = table(spark, d, "nation").filter("n_nationkey % 2 = 0")
-    met = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    met = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return met.select("c_custkey", F.col("n_name").alias("title"), F.col("r_name").alias("part"))
 
 
@@ -150,13 +144,10 @@ def toc_nth_entry(spark, d):
     return found.join(rows.select("doc_id", "title", F.col("key").alias("at")), ["doc_id", "title"]).select("doc_id", F.col("at").alias("key"), "title")
 
 
-_ROLE = "CASE WHEN w / 400 >= 0.45 AND h / 600 <= 0.3 AND w / h >= 1.8 THEN 'chapter_heading' WHEN w / 400 >= 0.6 AND h / 600 >= 0.55 THEN 'full_page_illustration' WHEN w / 400 >= 0.3 AND h / 600 >= 0.2 THEN 'illustration' END"
-
-
-@query(f"SELECT role, count(*) AS n FROM (SELECT {_ROLE} AS role FROM (SELECT l_quantity * 8.0 AS w, l_linenumber * 80.0 AS h FROM lineitem) x) y GROUP BY role")
+@query(f"SELECT role, count(*) AS n FROM (SELECT {images.ROLE_SQL} AS role FROM (SELECT height, width / 400.0 AS w, height / 600.0 AS h, width / height AS shape FROM (SELECT l_quantity * 8.0 AS width, l_linenumber * 80.0 AS height FROM lineitem) a) b) c GROUP BY role")
 def image_role_case(spark, d):
-    w, h = F.col("l_quantity") * 8.0, F.col("l_linenumber") * 80.0
-    return table(spark, d, "lineitem").select(images.role(w, h, F.lit(400.0), F.lit(600.0)).alias("role")).groupBy("role").agg(F.count("*").alias("n"))
+    shown = table(spark, d, "lineitem").select((F.col("l_quantity") * 8.0).alias("width"), (F.col("l_linenumber") * 80.0).alias("height"), F.lit(400.0).alias("page_width"), F.lit(600.0).alias("page_height"))
+    return images.with_roles(shown).groupBy("role").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -168,9 +159,10 @@ def interleave_union(spark, d):
     return images.interleaved(rows.filter("l_returnflag <> 'R'"), rows.filter("l_returnflag = 'R'"))
 
 
-@query(_LINES + "SELECT doc_id, count(*) AS titles FROM l WHERE line_no < 12 AND regexp_matches(line, '^[A-Z][^.!?]*$') AND length(line) <= 60 GROUP BY doc_id HAVING count(*) >= 3")
+@query("WITH l AS (SELECT s_nationkey AS doc_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS line_no, s_name AS line FROM supplier) SELECT doc_id, count(*) AS titles FROM l WHERE line_no < 12 AND regexp_matches(line, '^[A-Z][^.!?]*$') AND length(line) <= 60 GROUP BY doc_id HAVING count(*) >= 3")
 def catalog_pages_having(spark, d):
-    return blocks.catalog_pages(_lines(spark, d))
+    nth = F.row_number().over(W.partitionBy("s_nationkey").orderBy("s_suppkey")) - 1
+    return blocks.catalog_pages(table(spark, d, "supplier").select(F.col("s_nationkey").alias("doc_id"), nth.alias("line_no"), F.col("s_name").alias("line")))
 
 
 @query(f"WITH {LINES_SQL}, n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id HAVING count(*) >= 5) SELECT l.doc_id, min(line_no) AS cut, max(n) AS n FROM l JOIN n ON l.doc_id = n.doc_id WHERE regexp_matches(lower(line), 'licen[cs]e|copyright') AND line_no >= floor(n * 0.8) GROUP BY l.doc_id")
@@ -183,9 +175,23 @@ def dialogue_split(spark, d):
     return blocks.split_sentences(_lines(spark, d))
 
 
-@query(_LINES + "SELECT doc_id, line_no, CAST(len(regexp_extract_all(line, ' (?:[0-9]{1,2}\\.|[a-z]\\)) ')) AS INTEGER) AS markers FROM l WHERE len(regexp_extract_all(line, ' (?:[0-9]{1,2}\\.|[a-z]\\)) ')) > 0")
+_LISTED = "SELECT n_regionkey AS doc_id, 0 AS line_no, string_agg(n_nationkey || '. ' || n_name, ' ' ORDER BY n_nationkey) AS line FROM nation GROUP BY n_regionkey"
+
+
+@query(f"WITH l AS ({_LISTED}) SELECT doc_id, line_no, CAST(len(regexp_extract_all(line, ' (?:[0-9]{{1,2}}\\.|[a-z]\\)) ')) AS INTEGER) AS markers FROM l WHERE len(regexp_extract_all(line, ' (?:[0-9]{{1,2}}\\.|[a-z]\\)) ')) > 0")
 def embedded_list_markers(spark, d):
-    return blocks.list_markers(_lines(spark, d))
+    return blocks.list_markers(_listed(spark, d))
+
+
+def _listed(spark: SparkSession, d: str) -> DataFrame:
+    """The nations of a region as a list in one line."""
+    each = F.sort_array(F.collect_list(F.struct("n_nationkey", F.concat("n_nationkey", F.lit(". "), "n_name").alias("said"))))
+    return table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.array_join(F.transform(each, lambda x: x["said"]), " ").alias("line")).select("doc_id", F.lit(0).alias("line_no"), "line")
+
+
+@query(f"WITH l AS ({_LISTED}), s AS (SELECT doc_id, line_no, string_split(regexp_replace(line, ' ((?:[0-9]{{1,2}}\\.|[a-z]\\)) )', chr(10) || '\\1', 'g'), chr(10)) AS x FROM l) SELECT doc_id, line_no, CAST(unnest(range(len(x))) AS INTEGER) AS nth, unnest(x) AS part FROM s")
+def list_items_split(spark, d):
+    return blocks.split_at_markers(_listed(spark, d))
 
 
 @query(
@@ -248,9 +254,9 @@ def word_frequencies(spark, d):
     return counts.frequencies(_docs(spark, d))
 
 
-@query(_LINES + f"SELECT doc_id, line_no, CAST(n AS BIGINT) AS n FROM (SELECT doc_id, line_no, sum(CASE WHEN {_HEAD} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS n FROM l) x WHERE n > 0")
+@query(_LINES + f"SELECT doc_id, line_no, CAST(n AS BIGINT) AS n FROM (SELECT doc_id, line_no, sum(CASE WHEN {_HEAD} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS n FROM l) x WHERE n > 3")
 def sliding_heading_density(spark, d):
-    return quality.density(_lines(spark, d).withColumn("h", _heading()), "doc_id", "line_no", "h", most=0).select("doc_id", "line_no", "n")
+    return quality.density(_lines(spark, d).withColumn("h", _heading()), "doc_id", "line_no", "h").select("doc_id", "line_no", "n")
 
 
 @query(
@@ -260,9 +266,41 @@ def heading_runs_max(spark, d):
     return L.islands(_lines(spark, d).withColumn("h", _heading()), "doc_id", "line_no", "h").groupBy("doc_id").agg(F.max("length").alias("longest"))
 
 
-@query(_LINES + "SELECT doc_id, line_no FROM (SELECT doc_id, line_no, line, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS b FROM l) x WHERE b IS NOT NULL AND NOT regexp_matches(b, '[.!?]$') AND regexp_matches(line, '^[a-z]')")
+@query("WITH l AS (SELECT p_size AS doc_id, p_partkey AS line_no, lower(p_name) AS line FROM part) SELECT doc_id, line_no FROM (SELECT doc_id, line_no, line, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS b FROM l) x WHERE b IS NOT NULL AND NOT regexp_matches(b, '[.!?]$') AND regexp_matches(line, '^[a-z]')")
 def paragraph_continuity(spark, d):
-    return quality.continuity(_lines(spark, d))
+    return quality.continuity(table(spark, d, "part").select(F.col("p_size").alias("doc_id"), F.col("p_partkey").alias("line_no"), F.lower("p_name").alias("line")))
+
+
+_BLOCKS = f"{LINES_SQL}, k AS (SELECT doc_id, line_no AS pos, line AS text, {_HEAD} AS is_heading FROM l), t AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM k)"
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).select("doc_id", F.col("line_no").alias("pos"), F.col("line").alias("text"), _heading().alias("is_heading"))
+
+
+@query(
+    f"WITH {_BLOCKS}, u AS (SELECT *, list_filter(list_transform(regexp_split_to_array(t, '\\s+'), lambda w: regexp_replace(w, '[^A-Za-z]', '', 'g')), lambda w: w <> '') AS bare, len(regexp_split_to_array(t, '\\s+')) AS n FROM t WHERE is_heading AND t <> ''), "
+    "v AS (SELECT *, len(list_filter(bare, lambda w: NOT regexp_matches(w, '^[A-Z]'))) = 0 AS titled FROM u) "
+    f"SELECT doc_id, pos, text FROM v WHERE NOT (regexp_matches(t, '{quality.STRUCTURAL}') OR regexp_matches(t, '(?i)^To\\s+.+\\s+And$') OR regexp_matches(t, '^by\\s+[A-Z]')) AND (((regexp_matches(t, '{quality.OPEN}') OR regexp_matches(t, '(?i)\\b(?:{quality.DANGLING})\\s*$')) AND NOT (titled AND n = 1)) "
+    f"OR (regexp_matches(t, '^[a-z]') AND NOT regexp_matches(t, '[.!?][”\"’'']?\\s*$') AND NOT regexp_matches(t, '[”\"’'']\\s*$')) OR length(t) > 120 OR (regexp_matches(t, '(?i)^(?:{quality.PRONOUNS})\\b') AND NOT titled))"
+)
+def false_headings(spark, d):
+    return quality.false_headings(_blocks(spark, d))
+
+
+@query(
+    f"WITH {_BLOCKS}, p AS (SELECT *, lag(t) OVER w AS b, lag(is_heading) OVER w AS head FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) "
+    "SELECT doc_id, pos, text FROM p WHERE regexp_matches(t, '^[“‘\"'']') AND length(t) < 80 AND b <> '' AND NOT coalesce(head, false) AND NOT regexp_matches(b, '^[“‘\"'']') AND NOT regexp_matches(b, '[.!?][”\"’'']?\\s*$') AND NOT regexp_matches(b, '[,;:—–-]\\s*$')"
+)
+def split_dialogue(spark, d):
+    return quality.split_dialogue(_blocks(spark, d))
+
+
+@query("SELECT event_type, json_extract_string(props, '$.' || json_keys(props)[1]) AS first_value, count(*) AS n FROM events GROUP BY ALL")
+def event_properties(spark, d):
+    first = F.element_at(F.json_object_keys("props"), 1)
+    value = F.element_at(F.from_json("props", "map<string,string>"), first)
+    return table(spark, d, "events").groupBy("event_type", value.alias("first_value")).agg(F.count("*").alias("n"))
 
 
 @query(_LINES + "SELECT doc_id, line_no, line FROM l WHERE length(line) BETWEEN 1 AND 55 AND NOT regexp_matches(line, '[.!?]$')")
@@ -335,14 +373,12 @@ def snapshot_profile(spark, d):
 
 
 @query(
-    "WITH a AS (SELECT doc_id, sha256(text) AS p FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS p FROM documents WHERE doc_id % 7 <> 0) "
+    "WITH a AS (SELECT doc_id, sha256(CASE WHEN length(text) >= 500 THEN '1' ELSE '0' END) AS p FROM documents), b AS (SELECT doc_id, sha256(CAST(quality AS VARCHAR)) AS p FROM labels) "
     "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.p IS NULL THEN 'added' WHEN b.p IS NULL THEN 'removed' WHEN a.p <> b.p THEN 'changed' ELSE 'same' END AS verdict FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id"
 )
 def snapshot_diff_full_outer(spark, d):
-    docs = _docs(spark, d)
-    old = docs.filter("doc_id % 3 <> 0").select("doc_id", F.sha2("text", 256).alias("print"))
-    new = docs.filter("doc_id % 7 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("print"))
-    return quality.profile_diff(old, new)
+    old = _docs(spark, d).select("doc_id", F.sha2(F.when(F.length("text") >= 500, "1").otherwise("0"), 256).alias("print"))
+    return quality.profile_diff(old, table(spark, d, "labels").select("doc_id", F.sha2(F.col("quality").cast("string"), 256).alias("print")))
 
 
 @query(
@@ -376,9 +412,9 @@ def book_titles(spark, d):
     return blocks.title_score(_lines(spark, d))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(lower(left(text, 60)), '^\\s+|\\s+$', '', 'g'), '[^a-z0-9]', '', 'g') AS title_key FROM documents")
+@query("SELECT doc_id, regexp_replace(regexp_replace(lower(string_split(text, chr(10))[1]), '^\\s+|\\s+$', '', 'g'), '[^a-z0-9]', '', 'g') AS title_key FROM documents")
 def title_keys(spark, d):
-    return _docs(spark, d).select("doc_id", T.title_key(T.trimmed(F.left("text", F.lit(60)))).alias("title_key"))
+    return _docs(spark, d).select("doc_id", T.title_key(T.trimmed(F.substring_index("text", "\n", 1))).alias("title_key"))
 
 
 @query("SELECT page_id, CAST(length(html) AS INTEGER) AS n, CAST(len(regexp_extract_all(html, '<p[ >]')) AS INTEGER) AS paragraphs, contains(html, '&amp;') AS escaped FROM pages")

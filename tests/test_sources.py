@@ -53,3 +53,14 @@ def test_predicates(spark):
     for name, text in texts.items():
         other = spark.createDataFrame([(text,), ("It was a plain line of prose, with words.",)], "t string").select(getattr(P, name)(F.col("t")).alias("r")).collect()
         assert [r["r"] for r in other] == [True, False], name
+
+
+def test_character_maps_of_ligatures_lists_and_long_ranges():
+    from quire.sources.pages import character_map
+
+    got = character_map("beginbfchar <01> <00660066> <02> <D83DDE00> endbfchar beginbfrange <10> <12> <00660066> <20> <21> [<0041> <00420043>] <30> <31> <D83DDE00> endbfrange")
+    assert (got[0x10], got[0x12], got[0x21], got[0x30], got[0x31]) == ("ff", "fh", "BC", "\U0001f600", "\U0001f601")
+    got = character_map("beginbfrange <000000> <02FFFF> <0000> endbfrange")
+    assert len(got) > 190_000 and got[0x2FFFF] == chr(0x2FFFF)
+    with pytest.raises(ValueError):
+        character_map("beginbfrange <00000000> <FFFFFFFF> <0000> endbfrange")
