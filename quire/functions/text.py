@@ -11,7 +11,7 @@ BLANK = "[\\s\\x0B\\u0085\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u20
 UNITS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen")
 TENS = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred")
 #: Words that stay small within a title.
-MINOR = ("a", "an", "and", "as", "at", "but", "by", "for", "from", "in", "nor", "of", "on", "or", "the", "to", "with")
+MINOR = ("a", "an", "and", "as", "at", "but", "by", "for", "in", "nor", "of", "on", "or", "so", "the", "to", "up", "yet")
 
 
 def trimmed(c: Column) -> Column:
@@ -138,6 +138,27 @@ def title_cased(c: Column) -> Column:
     return F.when(c.rlike("[A-Z]") & ~c.rlike("[a-z]"), F.array_join(parts, " ")).otherwise(c)
 
 
+def book_cased(c: Column) -> Column:
+    """Words as in a book's title: minor ones small but first and last, roman numerals in capitals, others with one capital;
+    the parts of a word with hyphens each by themselves."""
+    ws = words(c)
+    last = F.size(ws) - 1
+
+    def cased(w: Column, major: Column) -> Column:
+        return F.when(~major & F.lower(w).isin(*MINOR), F.lower(w)).when(w.rlike("(?i)^[ivxlcdm]+$"), F.upper(w)).otherwise(F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substr(w, F.lit(2)))))
+
+    edge = lambda i: (i == 0) | (i == last)
+    hyphened = lambda w, i: F.array_join(F.transform(F.split(w, "-"), lambda part, k: cased(part, (k == 0) | edge(i))), "-")
+    return F.array_join(F.transform(ws, lambda w, i: F.when(F.contains(w, F.lit("-")), hyphened(w, i)).otherwise(cased(w, edge(i)))), " ")
+
+
+def inferred_title(c: Column) -> Column:
+    """A title found in a text: in title case, also where it is all in capitals."""
+    bare = trimmed(c)
+    shouted = bare.rlike("[A-Z]") & ~bare.rlike("[a-z]") & (F.length(F.regexp_replace(bare, "[^A-Za-z]", "")) >= 4)
+    return book_cased(F.when(shouted, F.lower(bare)).otherwise(bare))
+
+
 def page_number_line(c: Column) -> Column:
     return trimmed(c).rlike("^[-–—]?\\s*([0-9]{1,4}|[ivxlcIVXLC]{1,4})\\s*[-–—]?$")
 

@@ -32,15 +32,47 @@ def split_dialogue(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("parts", F.split("text", "(?<=[.!?][\"”’])\\s+(?=[\"“])"))
 
 
+#: A list marker within a text, such as ' 1. ' or ' b) ', with the blanks before it; what follows it may be the next one's.
+MARKER = r"(?i)\s+(?=(?:\d+|[a-z])[.)]\s)"
+
+
 def list_markers(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, markers): inline list markers such as ' 1. ' or ' a) ' in a block."""
-    return lines.select("doc_id", "line_no", F.regexp_count("line", F.lit(" (?:[0-9]{1,2}\\.|[a-z]\\)) ")).alias("markers")).filter("markers > 0")
+    return lines.select("doc_id", "line_no", (F.size(F.split(T.trimmed(F.col("line")), MARKER)) - 1).alias("markers")).filter("markers > 0")
 
 
 def split_at_markers(lines: DataFrame) -> DataFrame:
     """(doc_id, line_no, nth, part): a line cut before each list marker in it, so that every item stands by itself."""
-    cut = F.split(F.regexp_replace("line", " ((?:[0-9]{1,2}\\.|[a-z]\\)) )", "\n$1"), "\n")
-    return lines.select("doc_id", "line_no", F.posexplode(cut).alias("nth", "part"))
+    return lines.select("doc_id", "line_no", F.posexplode(F.split(T.trimmed(F.col("line")), MARKER)).alias("nth", "part"))
+
+
+def split_parts(blocks: DataFrame) -> DataFrame:
+    """blocks (doc_id, pos, text, is_heading) with nth and chapter_title: a part glued into prose ('... PARTII: The Sea') is
+    a heading of its own, after the prose before it."""
+    glued, t = r"(?i)\bpart(i{1,3}|iv|v|vi{0,3}|ix|x)\s*:\s*(.+)$", T.trimmed(F.coalesce("text", F.lit("")))
+    rows = blocks.withColumn("found", F.when(~F.coalesce("is_heading", F.lit(False)) & t.rlike(glued), F.regexp_extract(t, glued, 0)))
+    label = F.concat(F.lit("Part "), F.upper(F.regexp_extract("found", glued, 1)))
+    head = F.struct(label.alias("text"), F.lit(True).alias("is_heading"), F.concat_ws(" — ", label, F.nullif(T.trimmed(F.regexp_extract("found", glued, 2)), F.lit(""))).alias("chapter_title"))
+    before = F.struct(T.trimmed(F.left(t, F.length(t) - F.length("found"))).alias("text"), F.lit(False).alias("is_heading"), F.lit(None).cast("string").alias("chapter_title"))
+    as_is = F.struct("text", "is_heading", F.lit(None).cast("string").alias("chapter_title"))
+    parts = F.when(F.col("found").isNull(), F.array(as_is)).otherwise(F.filter(F.array(before, head), lambda b: b["text"] != ""))
+    return rows.select("doc_id", "pos", F.posexplode(parts).alias("nth", "b")).select("doc_id", "pos", "nth", "b.*")
+
+
+def end_of_parts(blocks: DataFrame) -> DataFrame:
+    """blocks (doc_id, pos, text, is_heading, is_image) where 'THE END OF' and the part's label, among the next five blocks and
+    with nothing but empty ones between, are one heading."""
+    order, t = W.partitionBy("doc_id").orderBy("pos"), T.trimmed(F.coalesce("text", F.lit("")))
+    rows = blocks.withColumn("t", t).withColumn("nth", F.row_number().over(order))
+    image = F.coalesce("is_image", F.lit(False))
+    seen = F.when(image | (F.col("t") != ""), F.struct("nth", image.alias("image"), "t"))
+    rows = rows.withColumn("next", F.first(seen, ignorenulls=True).over(order.rowsBetween(1, 5)))
+    number = F.regexp_extract("next.t", r"(?i)^part\s+(one|two|three|four|five|six|seven|eight|nine|ten)\b", 1)
+    rows = rows.withColumn("number", F.when(F.col("t").rlike(r"(?i)^the end of\.?$") & ~F.col("next.image") & (number != ""), number))
+    taken = F.max(F.when(F.col("number").isNotNull(), F.col("next.nth"))).over(order.rowsBetween(W.unboundedPreceding, -1))
+    kept = rows.withColumn("taken", taken).filter("taken IS NULL OR nth > taken")
+    joined = F.concat(F.lit("The End of Part "), F.initcap(F.lower("number")))
+    return kept.select("doc_id", "pos", F.coalesce(joined, "text").alias("text"), (F.col("number").isNotNull() | F.coalesce("is_heading", F.lit(False))).alias("is_heading"), "is_image")
 
 
 def prose(lines: DataFrame) -> DataFrame:
@@ -129,3 +161,30 @@ def title_score(lines: DataFrame, early: int = 40) -> DataFrame:
 def title_tidied(c):
     """A title without file endings, underscores and doubled blanks."""
     return T.squeezed(F.regexp_replace(F.regexp_replace(c, "\\.(pdf|PDF|epub|docx?)$", ""), "_+", " "))
+
+
+def slug_like(c):
+    """Whether a title is a file's name rather than one: empty, 'Name, ... - ...', or a single word that no title would be."""
+    one = ~c.rlike(r"^\d{1,4}$") & ~c.rlike("^[A-Z][a-z]{3,}$") & (c.rlike("[a-z][A-Z]") | c.rlike(r"^[A-Za-z]+\d+[A-Za-z0-9]*$") | c.rlike("(?i)^[a-z0-9_-]+$"))
+    return (c == "") | c.rlike(r"(?i)^[A-Z][a-z]+,\s*.+\s*-\s*.+") | (~c.rlike(r"\s") & one)
+
+
+def title_of_file(c):
+    """A title made of a file's name: words apart at dashes, underscores and capitals, cased as a title."""
+    bare = F.regexp_replace(T.trimmed(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?i)\.pdf$", "")), "[-_]+", " ")
+    return T.book_cased(T.squeezed(F.regexp_replace(F.regexp_replace(bare, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")))
+
+
+def resolve_title(meta, file, early, catalog):
+    """A book's title: that of its metadata, else of its file, else the best early line; of a year at the end of the file's
+    name, or whatever there is, if none of them looks like a title. A file's title must agree with an early line that is one,
+    unless the early pages are a publisher's list."""
+    meta, early = T.inferred_title(F.coalesce(meta, F.lit(""))), T.trimmed(F.coalesce(early, F.lit("")))
+    named, key = title_of_file(file), T.title_key
+    ranked = F.when(early.rlike(r"(?i)[®™]|\((?:R|TM)\)"), "").otherwise(early)
+    alike = (key(named) != "") & (key(ranked) != "") & (F.contains(key(named), key(ranked)) | F.contains(key(ranked), key(named)))
+    year = F.regexp_extract(T.trimmed(F.regexp_replace(F.coalesce(file, F.lit("")), r"(?i)\.pdf$", "")), r"(?:^|[^A-Za-z])[A-Za-z]{1,24}(\d{4})$", 1)
+    return (
+        F.when(~slug_like(meta) & ~meta.rlike("(?i)^untitled$"), meta).when(~slug_like(named) & (F.coalesce(catalog, F.lit(False)) | (ranked == "") | alike), named)
+        .when(~slug_like(ranked), ranked).when(year != "", year).otherwise(F.coalesce(F.nullif(early, F.lit("")), F.nullif(meta, F.lit("")), named))
+    )

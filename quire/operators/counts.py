@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 
-#: Words that say little in a phrase.
-STOP = ("a", "and", "as", "at", "for", "he", "her", "his", "in", "is", "it", "of", "on", "she", "that", "the", "they", "to", "was", "with")
+# Words that say little in a phrase, and numerals that number pages.
+STOP = tuple(
+    (
+        "a an the and or but if in on at to for of by with from as is was were be been am are has have had do does did will would could should may might must shall can it its he she they we you i me my "
+        "his her their our your this that these those not no nor so than then there here when where who whom what which while up down out into over under again further once"
+    ).split()
+)
+NUMERALS = tuple("i ii iii iv v vi vii viii ix x xi xii xiii xiv xv xvi xvii xviii xix xx".split())
 
 
 def tokens(c: Column) -> Column:
@@ -55,7 +61,27 @@ def coverage(docs: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def missing(docs: DataFrame, other: DataFrame, k: int = 20) -> DataFrame:
-    """(word, n, impact): the words of docs that other lacks, by how often and how long they are; the k with most."""
-    lost = frequencies(docs).join(frequencies(other).select("word"), "word", "left_anti")
+    """(word, n, impact): the words of docs that other lacks, by how often and how long they are; the k with most. Single
+    letters, words that say little and numerals of pages don't count."""
+    lost = frequencies(docs).filter((F.length("word") > 1) & ~F.col("word").isin(*STOP, *NUMERALS)).join(frequencies(other).select("word"), "word", "left_anti")
     impact = F.col("n") * F.least(F.length("word"), F.lit(12))
     return lost.withColumn("impact", impact).orderBy(F.desc("impact"), "word").limit(k)
+
+
+def lost_phrases(raw: DataFrame, parsed: DataFrame, least: int = 2, most: int = 35, k: int = 25) -> DataFrame:
+    """(phrase, n, score): phrases of four to six words that occur least to most times in raw and nowhere in parsed, whole words
+    compared; by occurrences times words, the first k of which none holds another.
+
+    Which phrase is kept depends on the better ones, so the sorted phrases come to the driver one partition at a time, only
+    until k are kept; no more than these k are held.
+    """
+    found = ngrams(raw, least=least, longest=6, words=words_and_numbers).filter(F.col("n") <= most)
+    there = ngrams(parsed, least=1, longest=6, words=words_and_numbers).select("phrase")
+    scored = found.join(there, "phrase", "left_anti").withColumn("score", F.col("n") * F.size(F.split("phrase", " "))).orderBy(F.desc("score"), "phrase")
+    kept: list[tuple] = []
+    for row in scored.toLocalIterator():
+        if not any(row["phrase"] in other or other in row["phrase"] for other, _, _ in kept):
+            kept.append((row["phrase"], row["n"], row["score"]))
+            if len(kept) == k:
+                break
+    return raw.sparkSession.createDataFrame(kept, "phrase string, n long, score long")

@@ -86,6 +86,36 @@ def word_ratio(parsed: DataFrame, raw: DataFrame, least: float = 0.9) -> DataFra
     return a.join(b, "doc_id").select("doc_id", ratio.alias("ratio"), (ratio >= least).alias("ok"))
 
 
+def needle(words: str) -> str:
+    """A pattern for a text with any case and any white space between its words."""
+    return r"(?i)" + r"\s+".join("\\Q" + w.replace("\\E", "") + "\\E" for w in words.split())
+
+
+def body(c, start: str, end: str, stop: str | None = None):
+    """struct(text, fault): a text from one anchor on, past another, and up to a third if that is there; fault is start or end
+    where that anchor is missing."""
+    c, (first, last) = F.coalesce(c, F.lit("")), (needle(start), needle(end))
+    rest = F.substr(c, F.regexp_instr(c, F.lit(first)))
+    past = F.regexp_instr(rest, F.lit(last)) + F.length(F.regexp_extract(rest, last, 0))
+    cut = F.regexp_instr(F.substr(rest, past), F.lit(needle(stop))) if stop else F.lit(0)
+    window = F.when(cut > 0, F.left(rest, past + cut - 2)).otherwise(rest)
+    fault = F.when(~c.rlike(first), "start").when(~rest.rlike(last), "end")
+    return F.struct(F.when(fault.isNull(), window).otherwise("").alias("text"), fault.alias("fault"))
+
+
+def book_changes(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(doc_id, changes) of books in either of two profiles (doc_id, words, headings, chapters, titles, first, last): removed,
+    added, or what changed by more than it may: words by 2 %, headings by 10 %, the rest at all."""
+    held = ("words", "headings", "chapters", "titles", "first", "last")
+    both = old.select("doc_id", F.struct(*held).alias("a")).join(new.select("doc_id", F.struct(*held).alias("b")), "doc_id", "full")
+    a, b = (lambda n, s=s: F.col(f"{s}.{n}") for s in "ab")
+    off = lambda n, share: F.when(a(n) > 0, F.abs(b(n) - a(n)) / a(n) > share)
+    differs = {"words": F.coalesce(off("words", 0.02), F.lit(False)), "headings": F.coalesce(off("headings", 0.1), ~a("headings").eqNullSafe(b("headings")))}
+    each = [F.when(differs.get(n, ~a(n).eqNullSafe(b(n))), n) for n in held]
+    changes = F.when(F.col("b").isNull(), F.array(F.lit("removed"))).when(F.col("a").isNull(), F.array(F.lit("added"))).otherwise(F.array_compact(F.array(*each)))
+    return both.select("doc_id", changes.alias("changes"))
+
+
 def page_in_provenance(blocks: DataFrame) -> DataFrame:
     """blocks (page, provenance) with ok, merge, or exempt where there is no provenance."""
     return blocks.withColumn("verdict", F.when(F.size("provenance") == 0, "exempt").when(F.array_contains("provenance", F.col("page")), "ok").otherwise("merge"))

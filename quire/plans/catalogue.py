@@ -13,9 +13,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import blocks, catalog, chapters, counts, export, images, quality, reader
+from quire.operators import blocks, catalog, chapters, counts, export, images, layout, pagemap, quality, reader, wraps
 from quire.operators import lines as L
-from quire.operators.drops import REASONS_SQL, explained
+from quire.operators.drops import DUCKDB, REASONS_SQL, explained
 from quire.sources.tables import LINES_SQL, lines, table
 from quire.streaming import progress
 
@@ -178,7 +178,11 @@ def dialogue_split(spark, d):
 _LISTED = "SELECT n_regionkey AS doc_id, 0 AS line_no, string_agg(n_nationkey || '. ' || n_name, ' ' ORDER BY n_nationkey) AS line FROM nation GROUP BY n_regionkey"
 
 
-@query(f"WITH l AS ({_LISTED}) SELECT doc_id, line_no, CAST(len(regexp_extract_all(line, ' (?:[0-9]{{1,2}}\\.|[a-z]\\)) ')) AS INTEGER) AS markers FROM l WHERE len(regexp_extract_all(line, ' (?:[0-9]{{1,2}}\\.|[a-z]\\)) ')) > 0")
+#: Items of the lines l; the second pass finds markers whose blank the first took as the one behind the marker before.
+_ITEMS = r"s AS (SELECT doc_id, line_no, string_split(regexp_replace(regexp_replace(regexp_replace(line, '^\s+|\s+$', '', 'g'), '(?i)\s+((?:\d+|[a-z])[.)]\s)', chr(1) || '\1', 'g'), '(?i)\s+((?:\d+|[a-z])[.)]\s)', chr(1) || '\1', 'g'), chr(1)) AS x FROM l)"
+
+
+@query(f"WITH l AS ({_LISTED}), {_ITEMS} SELECT doc_id, line_no, CAST(len(x) - 1 AS INTEGER) AS markers FROM s WHERE len(x) > 1")
 def embedded_list_markers(spark, d):
     return blocks.list_markers(_listed(spark, d))
 
@@ -189,11 +193,17 @@ def _listed(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.array_join(F.transform(each, lambda x: x["said"]), " ").alias("line")).select("doc_id", F.lit(0).alias("line_no"), "line")
 
 
-@query(f"WITH l AS ({_LISTED}), s AS (SELECT doc_id, line_no, string_split(regexp_replace(line, ' ((?:[0-9]{{1,2}}\\.|[a-z]\\)) )', chr(10) || '\\1', 'g'), chr(10)) AS x FROM l) SELECT doc_id, line_no, CAST(unnest(range(len(x))) AS INTEGER) AS nth, unnest(x) AS part FROM s")
+@query(f"WITH l AS ({_LISTED}), {_ITEMS} SELECT doc_id, line_no, CAST(unnest(range(len(x))) AS INTEGER) AS nth, unnest(x) AS part FROM s")
 def list_items_split(spark, d):
     return blocks.split_at_markers(_listed(spark, d))
 
 
+@query(f"WITH {LINES_SQL}, {_ITEMS} SELECT doc_id, line_no, CAST(unnest(range(len(x))) AS INTEGER) AS nth, sha256(unnest(x)) AS print FROM s")
+def document_list_items(spark, d):
+    return blocks.split_at_markers(_lines(spark, d)).select("doc_id", "line_no", "nth", F.sha2("part", 256).alias("print"))
+
+
+
 @query(
     f"WITH {LINES_SQL}, a AS (SELECT doc_id, line_no, line, lag(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS b FROM l), "
     "c AS (SELECT doc_id, line_no, line, sum(CASE WHEN b IS NULL OR (regexp_matches(b, '[.!?]$') AND NOT regexp_matches(line, '^[a-z]')) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS block FROM a) "
@@ -215,6 +225,7 @@ def poetry_classifier(spark, d):
 
 _WORDS = "SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS t FROM {0}"
 _STOPS = ", ".join(f"'{w}'" for w in counts.STOP)
+_NUMERALS = ", ".join(f"'{w}'" for w in counts.NUMERALS)
 
 
 @query(
@@ -236,7 +247,7 @@ def ngram_counts_4_to_6(spark, d):
 _FREQ = "(SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM {0}) x GROUP BY word)"
 
 
-@query(f"SELECT word, n, n * least(length(word), 12) AS impact FROM {_FREQ.format('documents')} a WHERE word NOT IN (SELECT word FROM {_FREQ.format('benchmark')} b) ORDER BY impact DESC, word LIMIT 20")
+@query(f"SELECT word, n, n * least(length(word), 12) AS impact FROM {_FREQ.format('documents')} a WHERE length(word) > 1 AND word NOT IN ({_STOPS}, {_NUMERALS}) AND word NOT IN (SELECT word FROM {_FREQ.format('benchmark')} b) ORDER BY impact DESC, word LIMIT 20")
 def missing_words_topk(spark, d):
     return counts.missing(_docs(spark, d), table(spark, d, "benchmark"))
 
@@ -492,3 +503,102 @@ def line_shapes(spark, d):
 def word_count_against_raw(spark, d):
     docs = _docs(spark, d).select("doc_id", "text")
     return quality.word_ratio(docs, docs.withColumn("text", F.concat("text", F.lit(" one two"))))
+
+
+_FATES = (
+    _REASONS.rstrip() + f", x AS (SELECT *, lag(line) OVER w AS prev FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)), y AS (SELECT doc_id, {wraps.folded_sql('string_agg(line, chr(10) ORDER BY line_no)')} AS hay FROM r WHERE NOT starts_with(reason, 'drop-') GROUP BY doc_id), "
+    f"z AS (SELECT x.doc_id, line_no, substr(reason, 6) AS reason, {wraps.folded_sql('line')} AS t, {wraps.folded_sql('prev')} AS p, coalesce(hay, '') AS hay FROM x LEFT JOIN y ON x.doc_id = y.doc_id WHERE starts_with(reason, 'drop-')), "
+    f"u AS (SELECT *, {wraps.wrap(DUCKDB)} AS wrap FROM z), fates AS (SELECT doc_id, line_no, reason, wrap, {wraps.FATE} AS fate FROM u) "
+)
+
+
+def _fates(spark: SparkSession, d: str) -> DataFrame:
+    """Dropped lines of each document against what stays of it."""
+    held = _lines(spark, d)
+    kept = explained(held).filter(~F.col("reason").startswith("drop-"))
+    texts = kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    drops = L.drops(held).select("doc_id", "line_no", F.lit("lines").alias("stage"), F.substr("reason", F.lit(6)).alias("reason"), F.col("line").alias("text"), "prev")
+    return wraps.fates(drops, texts)
+
+
+@query(_FATES + "SELECT doc_id, line_no, reason, wrap, fate FROM fates")
+def wrap_tail_fates(spark, d):
+    return _fates(spark, d).select("doc_id", "line_no", "reason", "wrap", "fate")
+
+
+@query(_FATES + "SELECT 'lines' AS stage, reason, count(*) AS n FROM fates WHERE wrap AND fate IN ('wrap-tail-deleted', 'wrap-tail-token-elsewhere') GROUP BY reason")
+def wrap_tail_mechanisms(spark, d):
+    return wraps.mechanisms(_fates(spark, d))
+
+
+#: Lines of documents with places on a page that follow from their number and length.
+_PLACED = f"WITH {LINES_SQL}, g AS (SELECT doc_id, CAST(line_no // 30 AS INTEGER) AS page_index, line_no, line AS text, CAST((line_no * 37 + length(line)) % 120 AS DOUBLE) AS x, CAST((line_no * 37 + length(line)) % 120 + 4 * length(line) AS DOUBLE) AS right_edge, CAST(9 + (line_no % 4) * 3 AS DOUBLE) AS font_size FROM l), "
+
+
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    n, at = F.length("line"), F.col("line_no")
+    x = ((at * 37 + n) % 120).cast("double")
+    return _lines(spark, d).select("doc_id", F.floor(at / 30).cast("int").alias("page_index"), "line_no", F.col("line").alias("text"), x.alias("x"), (x + 4 * n).alias("right_edge"), (9 + (at % 4) * 3).cast("double").alias("font_size"))
+
+
+@query(_PLACED + layout.CENTRED_SQL + " SELECT doc_id, line_no, centred FROM v")
+def centred_lines(spark, d):
+    return layout.with_centred(_placed(spark, d)).select("doc_id", "line_no", "centred")
+
+
+@query(_PLACED + layout.CENTRED_SQL + layout.NOTED_SQL + " SELECT doc_id, line_no, verdict FROM n")
+def margin_notes(spark, d):
+    return layout.noted(_placed(spark, d)).select("doc_id", "line_no", "verdict")
+
+
+@query(
+    "WITH RECURSIVE pg AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page, month(o_orderdate) AS m FROM orders), r AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS seq, CAST(1 AS BIGINT) AS low, CAST(NULL AS BIGINT) AS page FROM pg "
+    "UNION ALL SELECT r.doc_id, r.seq + 1, coalesce(min(pg.page), min(r.low)), min(pg.page) FROM r LEFT JOIN pg ON pg.doc_id = r.doc_id AND pg.m = r.seq + 1 AND pg.page >= r.low WHERE r.seq < 12 GROUP BY r.doc_id, r.seq) SELECT doc_id, seq, page FROM r WHERE page IS NOT NULL"
+)
+def chapter_page_map(spark, d):
+    nth = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    pages = table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), nth.alias("page"), F.array(F.concat(F.lit("CHAPTER "), F.month("o_orderdate"))).alias("titles"), F.array().cast("array<string>").alias("ids"))
+    chapters_ = pages.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("seq")).select("doc_id", "seq", F.concat(F.lit("c"), "seq").alias("id"), F.concat(F.lit("Chapter "), "seq", F.lit(" - A Month")).alias("title"))
+    return pagemap.chapter_pages(pages, chapters_).select("doc_id", "seq", "page")
+
+
+@query(
+    "WITH e AS (SELECT user_id, event_id, CASE WHEN event_type = 'click' THEN 'click ' || event_id END AS own, CASE WHEN event_type = 'purchase' THEN 'bought ' || event_id END AS entry FROM events), "
+    "f AS (SELECT user_id, event_id, last_value(own IGNORE NULLS) OVER w AS own, last_value(entry IGNORE NULLS) OVER w AS entry FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT user_id, event_id, coalesce(own, entry, '') AS title FROM f"
+)
+def margin_chapter_titles(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("page"), "event_type")
+    pages = rows.select("doc_id", "page", F.when(F.col("event_type") == "click", F.array(F.concat(F.lit("click "), "page"))).alias("titles"), F.lit(False).alias("is_title_page"))
+    entries = rows.filter("event_type = 'purchase'").select("doc_id", "page", F.concat(F.lit("bought "), "page").alias("title"))
+    return pagemap.margin_titles(pages, entries).select(F.col("doc_id").alias("user_id"), F.col("page").alias("event_id"), "title")
+
+
+@query(
+    f"WITH {LINES_SQL}, n AS (SELECT doc_id, line_no + 1 AS page, sum(length(regexp_replace(line, '\\s', '', 'g'))) OVER (PARTITION BY doc_id ORDER BY line_no) AS hi FROM l), a AS (SELECT doc_id, doc_id * 37 % 900 AS spot FROM documents) "
+    "SELECT a.doc_id, CAST(CASE WHEN a.spot > 0 THEN coalesce(min(CASE WHEN a.spot < n.hi THEN n.page END), max(n.page)) ELSE greatest(1, floor(0.5 * count(n.page) + 0.5)) END AS INTEGER) AS page FROM a JOIN n ON a.doc_id = n.doc_id GROUP BY a.doc_id, a.spot"
+)
+def page_after_repagination(spark, d):
+    pages = _lines(spark, d).select("doc_id", (F.col("line_no") + 1).alias("page"), F.array("line").alias("items"))
+    anchors = _docs(spark, d).select("doc_id", (F.col("doc_id") * 37 % 900).alias("offset"), F.lit(None).cast("string").alias("prefix"), F.lit(1).alias("old_page"), F.lit(2).alias("old_total"))
+    return pagemap.page_after(anchors, pages).select("doc_id", "page")
+
+
+@query(
+    "WITH a AS (SELECT doc_id, text, strpos(lower(text), 'the') AS spot FROM documents), b AS (SELECT doc_id, CASE WHEN spot > 0 THEN substr(text, spot) END AS rest FROM a), c AS (SELECT doc_id, rest, strpos(lower(rest), 'and') AS past FROM b), "
+    "e AS (SELECT doc_id, rest, past, CASE WHEN past > 0 THEN strpos(lower(substr(rest, past + 3)), 'of') END AS cut FROM c) "
+    "SELECT doc_id, CASE WHEN rest IS NULL THEN 'start' WHEN past = 0 THEN 'end' END AS fault, CAST(length(CASE WHEN rest IS NULL OR past = 0 THEN '' WHEN cut > 0 THEN left(rest, past + 2 + cut - 1) ELSE rest END) AS INTEGER) AS n FROM e"
+)
+def body_windows(spark, d):
+    return _docs(spark, d).select("doc_id", quality.body(F.col("text"), "the", "and", "of").alias("b")).select("doc_id", "b.fault", F.length("b.text").alias("n"))
+
+
+@query(
+    "WITH a AS (SELECT o_orderkey AS doc_id, CAST(floor(o_totalprice) AS BIGINT) AS words, o_custkey % 5 AS headings, o_custkey % 7 AS chapters FROM orders WHERE o_orderstatus <> 'P'), b AS (SELECT l_orderkey AS doc_id, CAST(floor(sum(l_quantity * 1000)) AS BIGINT) AS words, count(*) AS headings, max(l_linenumber) AS chapters FROM lineitem GROUP BY l_orderkey) "
+    "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'removed' WHEN a.doc_id IS NULL THEN 'added' ELSE concat_ws(' ', CASE WHEN a.words > 0 AND abs(b.words - a.words) / CAST(a.words AS DOUBLE) > 0.02 THEN 'words' END, "
+    "CASE WHEN (a.headings > 0 AND abs(b.headings - a.headings) / CAST(a.headings AS DOUBLE) > 0.1) OR (a.headings = 0 AND b.headings <> 0) THEN 'headings' END, CASE WHEN a.chapters <> b.chapters THEN 'chapters' END) END AS changes FROM a FULL JOIN b ON a.doc_id = b.doc_id"
+)
+def book_changes_tolerant(spark, d):
+    none, blank = F.array().cast("array<string>").alias("titles"), [F.lit("").alias("first"), F.lit("").alias("last")]
+    old = table(spark, d, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("doc_id"), F.floor("o_totalprice").alias("words"), (F.col("o_custkey") % 5).alias("headings"), (F.col("o_custkey") % 7).alias("chapters"), none, *blank)
+    new = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.floor(F.sum(F.col("l_quantity") * 1000)).alias("words"), F.count("*").alias("headings"), F.max("l_linenumber").cast("long").alias("chapters"))
+    return quality.book_changes(old, new.select("*", none, *blank)).select("doc_id", F.array_join("changes", " ").alias("changes"))
