@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import blocks, catalog, chapters, counts, export, images, layout, pagemap, quality, reader, wraps
+from quire.operators import blocks, catalog, chapters, counts, export, headings, images, layout, pagemap, quality, reader, wraps
 from quire.operators import lines as L
 from quire.operators.drops import DUCKDB, REASONS_SQL, explained
 from quire.sources.tables import LINES_SQL, lines, table
@@ -602,3 +602,54 @@ def book_changes_tolerant(spark, d):
     old = table(spark, d, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("doc_id"), F.floor("o_totalprice").alias("words"), (F.col("o_custkey") % 5).alias("headings"), (F.col("o_custkey") % 7).alias("chapters"), none, *blank)
     new = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.floor(F.sum(F.col("l_quantity") * 1000)).alias("words"), F.count("*").alias("headings"), F.max("l_linenumber").cast("long").alias("chapters"))
     return quality.book_changes(old, new.select("*", none, *blank)).select("doc_id", F.array_join("changes", " ").alias("changes"))
+
+
+@query(
+    f"WITH {LINES_SQL}, a AS (SELECT doc_id, line_no, line_no % 7 = 3 AS is_image, trim(line) AS text, regexp_matches(line, '^[a-z]') AS goes FROM l), b AS (SELECT * FROM a WHERE is_image OR text <> ''), "
+    "c AS (SELECT *, CASE WHEN NOT is_image AND goes AND lag(is_image) OVER (PARTITION BY doc_id ORDER BY line_no) = false THEN 0 ELSE 1 END AS new FROM b), e AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM c) "
+    "SELECT doc_id, min(line_no) AS pos, arg_min(is_image, line_no) AS is_image, sha256(string_agg(text, ' ' ORDER BY line_no)) AS print FROM e GROUP BY doc_id, run"
+)
+def export_blocks_merged(spark, d):
+    rows = _lines(spark, d).select("doc_id", F.col("line_no").alias("pos"), F.col("line").alias("text"), (F.col("line_no") % 7 == 3).alias("is_image"), F.col("line").rlike("^[a-z]").alias("is_continuation"))
+    return headings.exported(rows).select("doc_id", "pos", "is_image", F.sha2("text", 256).alias("print"))
+
+
+#: Parts as the blocks of books, one for each size: labels with titles, tails of titles, and other blocks.
+_TITLED = "SELECT p_size AS doc_id, p_partkey AS pos, CASE p_partkey % 5 WHEN 0 THEN 'Chapter ' || (p_partkey % 40 + 1) || '. ' || p_name WHEN 1 THEN upper(p_type) WHEN 2 THEN p_brand || ' is what they said to them there.' ELSE p_name END AS text, p_partkey % 5 < 2 AS is_heading FROM part"
+
+
+@query(
+    f"WITH b AS ({_TITLED}), c AS (SELECT *, trim(text) AS t, is_heading AND regexp_matches(trim(text), '{headings.POINTED}') AS opens FROM b), e AS (SELECT *, opens OR NOT {headings.tail(DUCKDB)} AS first FROM c), "
+    "f AS (SELECT *, sum(CASE WHEN first THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM e), g AS (SELECT *, bool_or(opens) OVER (PARTITION BY doc_id, run) AS joins FROM f), "
+    f"h AS (SELECT doc_id, run, string_agg(CASE WHEN opens THEN regexp_replace(t, '{headings.POINTED}', 'Chapter \\2 - \\3') ELSE t END, ' ' ORDER BY pos) AS said FROM g WHERE joins GROUP BY doc_id, run) "
+    "SELECT g.doc_id, g.pos, CASE WHEN opens THEN said ELSE text END AS text, opens AS is_chapter_start FROM g LEFT JOIN h ON g.doc_id = h.doc_id AND g.run = h.run WHERE opens OR NOT joins"
+)
+def chapter_titles_gathered(spark, d):
+    return headings.gathered(table(spark, d, "part").selectExpr(*_TITLED.removeprefix("SELECT ").removesuffix(" FROM part").split(", "))).select("doc_id", "pos", "text", "is_chapter_start")
+
+
+@query("WITH b AS (SELECT p_size AS doc_id, p_partkey AS pos, CASE WHEN p_partkey % 11 = 0 THEN 'Part Two' ELSE p_name END AS text, p_partkey % 29 = 0 AS plate FROM part) SELECT doc_id, pos FROM (SELECT *, bool_or(plate) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 23 FOLLOWING) AS again FROM b) x WHERE text = 'Part Two' AND again")
+def parts_before_plates(spark, d):
+    at = F.col("p_partkey")
+    rows = table(spark, d, "part").select(F.col("p_size").alias("doc_id"), at.alias("pos"), F.when(at % 11 == 0, "Part Two").otherwise(F.col("p_name")).alias("text"), F.when(at % 29 == 0, "part").alias("plate"))
+    return headings.before_plates(rows)
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), 'er#00000001')")
+def library_filter(spark, d):
+    return catalog.named(table(spark, d, "customer").select("c_custkey", "c_name"), "c_name", " ER#00000001")
+
+
+@query("WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '(?i)(the)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS x FROM documents), e AS (SELECT doc_id, unnest(range(len(x))) AS i, x FROM p) SELECT doc_id, count(*) FILTER (WHERE i % 2 = 1) AS hits, count(*) AS pieces, sha256(string_agg(x[i + 1], '|' ORDER BY i)) AS print FROM e WHERE x[i + 1] <> '' GROUP BY doc_id")
+def highlighted_text(spark, d):
+    rows = _docs(spark, d).filter("text <> ''").select("doc_id", headings.marked(F.col("text"), "the").alias("m"))
+    return rows.select("doc_id", F.size(F.filter("m", lambda p: p["hit"])).cast("long").alias("hits"), F.size("m").cast("long").alias("pieces"), F.sha2(F.array_join(F.transform("m", lambda p: p["text"]), "|"), 256).alias("print"))
+
+
+@query("SELECT o_custkey AS id, count(*) AS pages, string_agg(o_orderstatus, '' ORDER BY o_orderkey) AS content FROM orders GROUP BY o_custkey")
+def opened_documents(spark, d):
+    orders = table(spark, d, "orders")
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit(0).alias("total_pages"), F.lit(None).cast("int").alias("parser_version"))
+    content = orders.select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("page"), F.col("o_orderstatus").alias("blocks"))
+    held = catalog.opened(rows, content, content.select("id", F.col("page").alias("seq"), F.col("blocks").alias("title")), 1)
+    return held.filter("content IS NOT NULL").select("id", F.col("total_pages").alias("pages"), F.array_join("content", "").alias("content"))

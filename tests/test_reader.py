@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.operators import blocks, counts, layout, pagemap, quality, wraps
+from quire.operators import blocks, catalog, counts, headings, layout, pagemap, quality, wraps
 
 
 @pytest.mark.parametrize(
@@ -156,3 +156,61 @@ def test_phrases_that_parsing_lost(spark):
     raw = spark.createDataFrame([("alpha beta gamma delta epsilon",), ("alpha beta gamma delta epsilon",), ("other words stand right here",), ("other words stand right here",)], "text string")
     parsed = spark.createDataFrame([("other words stand right here",)], "text string")
     assert [(r["phrase"], r["n"], r["score"]) for r in counts.lost_phrases(raw, parsed).collect()] == [("alpha beta gamma delta epsilon", 2, 10)]
+
+
+@pytest.mark.parametrize(
+    "pattern, texts, want",
+    [
+        (headings.POINTED, [("Chapter 5. THE FOX", True), ("AND THE CROW", False), ("He went home at last, and slept.", False), ("THE SEA", False)], ["Chapter 5 - The Fox and the Crow", "He went home at last, and slept.", "THE SEA"]),
+        (headings.POINTED, [("letter II. To Her", True), ("Letter III. To Him.", True), ("prose of many more words than a title has in it", False)], ["Letter II - To Her", "Letter III - To Him", "prose of many more words than a title has in it"]),
+        (headings.DASHED, [("Chapter 1 - The", True), ("Wide Sea", False), (None, False), ("Chapter 2 - Land", True)], ["Chapter 1 - The Wide Sea", None, "Chapter 2 - Land"]),
+    ],
+)
+def test_titles_gathered(spark, pattern, texts, want):
+    rows = spark.createDataFrame([(1, i, t, h) for i, (t, h) in enumerate(texts)], "doc_id long, pos int, text string, is_heading boolean")
+    assert [r["text"] for r in headings.gathered(rows, pattern).orderBy("pos").collect()] == want
+
+
+def test_parts_promoted(spark):
+    rows = [(1, 0, "part two.", False, False, 10.0), (1, 1, "PART TWO", False, None, 20.0), (1, 2, "Part iv", None, None, None), (1, 3, "a part of it", False, False, 10.0), (1, 4, "Chapter 1", True, True, 30.0), (1, 5, None, None, None, None)]
+    got = headings.promoted(spark.createDataFrame(rows, "doc_id long, pos int, text string, is_heading boolean, is_chapter_start boolean, font_size double")).orderBy("pos").collect()
+    assert [(r["text"], r["is_chapter_start"], r["font_size"]) for r in got] == [("Part Two", True, 15.0), ("PART TWO", True, 15.0), ("Part IV", True, 15.0), ("a part of it", False, 10.0), ("Chapter 1", True, 15.0), (None, False, None)]
+
+
+def test_chapter_headings_of_documents(spark):
+    rows = spark.createDataFrame([(1, "Chapter 5"), (1, "prose"), (2, "Prologue: The Sea"), (3, "prose"), (3, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["chapters"], r["any"]) for r in headings.with_headings(rows).collect()) == [(1, 1, True), (2, 1, True), (3, 0, False)]
+
+
+def test_blocks_of_an_export(spark):
+    rows = [(1, 0, "went on", False, True), (1, 1, " and on ", False, True), (1, 2, " ", False, False), (1, 3, "then", None, True), (1, 4, None, True, None), (1, 5, "after", False, True), (1, 6, "new", False, None)]
+    got = headings.exported(spark.createDataFrame(rows, "doc_id long, pos int, text string, is_image boolean, is_continuation boolean")).orderBy("pos").collect()
+    assert [(r["pos"], r["is_image"], r["text"]) for r in got] == [(0, False, "went on and on then"), (4, True, ""), (5, False, "after"), (6, False, "new")]
+
+
+@pytest.mark.parametrize("text, find, want", [("The other", "THE", [("The", True), (" o", False), ("the", True), ("r", False)]), ("a.b", ".", [("a", False), (".", True), ("b", False)]), ("none", "x", [("none", False)]), ("all", " ", [("all", False)])])
+def test_text_marked(spark, text, find, want):
+    got = spark.createDataFrame([(text,)], "t string").select(headings.marked(F.col("t"), find).alias("m")).first()["m"]
+    assert [tuple(p) for p in got] == want
+
+
+@pytest.mark.parametrize(
+    "kind, number, title, raw, want",
+    [
+        ("prologue", None, "To Kill", None, "To Kill"), ("prologue", "", "", None, "Prologue"), ("interlude_divider", None, None, None, "Interludes"), ("part", "Part One", "Above", None, "Part One: Above"), ("interlude", "", "", "", "Interlude"),
+        ("flashback", "1", "Years Ago", None, "Years Ago"), (None, "Chapter 5", "The Sea", None, "Chapter 5: The Sea"), (None, "Chapter 5", "chapter 5", None, "Chapter 5"), (None, None, None, "Chapter 7", "Chapter 7"), (None, None, None, "a fox", None),
+    ],
+)
+def test_plates_in_the_contents(spark, kind, number, title, raw, want):
+    rows = spark.createDataFrame([(1, 2, 3, kind, number, title, raw, None), (1, 2, 4, kind, number, title, raw, False)], "doc_id long, page int, block int, kind string, number string, title string, raw string, include boolean")
+    assert [(r["block"], r["title"]) for r in headings.plate_entries(rows).collect()] == ([(3, want)] if want else [])
+
+
+def test_document_to_open(spark):
+    rows = spark.createDataFrame([(1, "a", 9, None), (2, "b", 4, 7)], "id long, name string, total_pages int, parser_version int")
+    content = spark.createDataFrame([(1, 1, ["y"]), (1, 0, ["x"])], "id long, page int, blocks array<string>")
+    got = catalog.opened(rows, content, spark.createDataFrame([(1, 0, "One")], "id long, seq int, title string"), 139).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, "a", 2, 139, [["x"], ["y"]], ["One"]), (2, "b", 4, 7, None, None)]
+    assert rows.select(catalog.asset_path(F.col("id"), F.col("name")).alias("p")).first()["p"] == "books/1/images/a.jpg"
+    assert [r["id"] for r in catalog.named(rows, "name", " B ").collect()] == [2]
+    assert catalog.without_binaries(rows.withColumn("buffer", F.lit(b"x"))).columns == rows.columns
