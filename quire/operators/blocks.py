@@ -92,22 +92,29 @@ def prose(lines: DataFrame) -> DataFrame:
 def capped_prose(lines: DataFrame, words: int = 80, chars: int = 500) -> DataFrame:
     """(doc_id, block, text): as prose(), but continued only while the block so far has fewer words and characters.
 
-    What a line does depends on the text gathered before it, so each document is folded in order, with Arrow batches.
+    What a line does depends on the text gathered before it, so a document's lines, in order, are folded as one array, with
+    many documents in an Arrow batch. A null line is empty.
     """
     import pandas as pd
 
-    def fold(doc: pd.DataFrame) -> pd.DataFrame:
+    def blocks_of(page: list) -> list[str]:
         out: list[str] = []
-        for line in doc.sort_values("line_no")["line"]:
+        for line in page:
             last = out[-1] if out else None
             open_ = last is not None and not last.rstrip().endswith((".", "!", "?")) and len(last) < chars and len(last.split()) < words
             if open_ or (last is not None and line[:1].islower() and len(last) < chars):
                 out[-1] = f"{last} {line}"
             else:
                 out.append(line)
-        return pd.DataFrame({"doc_id": doc["doc_id"].iloc[0], "block": range(len(out)), "text": out})
+        return out
 
-    return lines.groupBy("doc_id").applyInPandas(fold, "doc_id long, block int, text string")
+    def fold(pages: pd.Series) -> pd.Series:
+        return pages.map(blocks_of)
+
+    line = F.struct("line_no", F.coalesce("line", F.lit("")).alias("line"))
+    pages = lines.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]).alias("lines"))
+    folded = F.pandas_udf(fold, "array<string>", F.PandasUDFType.SCALAR)
+    return pages.select("doc_id", F.posexplode(folded("lines")).alias("block", "text"))
 
 
 def merge_headings(blocks: DataFrame) -> DataFrame:

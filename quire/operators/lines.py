@@ -98,12 +98,13 @@ def items_to_lines(items: DataFrame, near: float = 3.0) -> DataFrame:
     import pandas as pd
 
     def fold(page: pd.DataFrame) -> pd.DataFrame:
-        rows, held = [], []
+        rows, held, total = [], [], 0.0
         for item in page[page["str"].str.strip() != ""].sort_values(["y", "x"], ascending=[False, True]).to_dict("records"):
-            if held and abs(item["y"] - sum(i["y"] for i in held) / len(held)) > near:
+            if held and abs(item["y"] - total / len(held)) > near:
                 rows.append(held)
-                held = []
+                held, total = [], 0.0
             held.append(item)
+            total += item["y"]
         rows += [held] if held else []
         out = []
         for n, row in enumerate(rows):

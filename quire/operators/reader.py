@@ -26,24 +26,32 @@ def pages(lines: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def packed_pages(blocks: DataFrame, rows: int = 30, columns: int = 60) -> DataFrame:
     """(doc_id, pos, page): greedy pages of so many text rows; headings stay with the block after, chapters begin a page.
 
-    Where a block goes depends on all before it, so each document is folded in order, with Arrow batches.
+    Where a block goes depends on all before it, so the sizes and kinds of a document's blocks, in order, are folded as one
+    array, with many documents in an Arrow batch; texts stay where they are.
     """
     import pandas as pd
 
-    def fold(doc: pd.DataFrame) -> pd.DataFrame:
-        doc, out, page, used = doc.sort_values("pos").reset_index(drop=True), [], 1, 0
-        need = [-(-max(1, len(t)) // columns) for t in doc["text"]]
-        for i, row in enumerate(doc.itertuples(index=False)):
-            size = need[i] + (need[i + 1] if row.is_heading and i + 1 < len(need) else 0)
-            if used and (row.is_chapter_start or used + size > rows):
+    def pages_of(doc: list) -> list[int]:
+        out, page, used = [], 1, 0
+        for i, block in enumerate(doc):
+            size = block["need"] + (doc[i + 1]["need"] if block["is_heading"] and i + 1 < len(doc) else 0)
+            if used and (block["is_chapter_start"] or used + size > rows):
                 page, used = page + 1, 0
-            out.append((row.doc_id, row.pos, page))
-            used += need[i]
+            out.append(page)
+            used += block["need"]
             while used > rows:
                 page, used = page + 1, used - rows
-        return pd.DataFrame(out, columns=["doc_id", "pos", "page"])
+        return out
 
-    return blocks.groupBy("doc_id").applyInPandas(fold, "doc_id long, pos long, page int")
+    def fold(docs: pd.Series) -> pd.Series:
+        return docs.map(pages_of)
+
+    need = F.ceil(F.greatest(F.lit(1), F.length(F.coalesce("text", F.lit("")))) / columns).cast("int")
+    block = F.struct(F.col("pos").cast("long").alias("pos"), need.alias("need"), "is_heading", "is_chapter_start")
+    held = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    folded = F.pandas_udf(fold, "array<int>", F.PandasUDFType.SCALAR)
+    places = held.withColumn("pages", folded("blocks")).select("doc_id", F.explode(F.arrays_zip(F.col("blocks.pos").alias("pos"), F.col("pages").alias("page"))).alias("p"))
+    return places.select("doc_id", "p.pos", "p.page")
 
 
 def search(docs: DataFrame, needle: str) -> DataFrame:

@@ -214,3 +214,17 @@ def test_document_to_open(spark):
     assert rows.select(catalog.asset_path(F.col("id"), F.col("name")).alias("p")).first()["p"] == "books/1/images/a.jpg"
     assert [r["id"] for r in catalog.named(rows, "name", " B ").collect()] == [2]
     assert catalog.without_binaries(rows.withColumn("buffer", F.lit(b"x"))).columns == rows.columns
+
+
+def test_paragraphs_up_to_a_size(spark):
+    texts = ["One line", "goes on", None, "Ends here.", "New one"]
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc_id long, line_no int, line string")
+    assert [r["text"] for r in blocks.capped_prose(rows, words=3).orderBy("block").collect()] == ["One line goes on", " Ends here.", "New one"]
+
+
+def test_blocks_on_pages(spark):
+    from quire.operators import reader
+
+    texts = [("x" * 25, False, False), ("h", True, False), ("b", False, False), ("c", False, True), ("y" * 45, False, False), (None, False, False)]
+    rows = spark.createDataFrame([(1, i, *t) for i, t in enumerate(texts)], "doc_id long, pos long, text string, is_heading boolean, is_chapter_start boolean")
+    assert [r["page"] for r in reader.packed_pages(rows, rows=3, columns=10).orderBy("pos").collect()] == [1, 2, 2, 3, 4, 5]
