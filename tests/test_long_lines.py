@@ -14,7 +14,7 @@ LONG = ["The Old Man of Hill and Sea " * 3000 + "Ends", "Of the Sea " * 9000 + "
 TEXTS = [f"It was a long day on the wide sea and\n{LONG[i % 3]}\nand so it was.\nA Short Title\n{i} {LONG[0]}" for i in range(6)]
 
 
-@pytest.mark.parametrize("name", ["centred_lines", "line_drop_trace", "wrap_tail_mechanisms", "line_drop_reasons", "wrap_tail_fates"])
+@pytest.mark.parametrize("name", ["centred_lines", "line_drop_trace", "wrap_tail_mechanisms", "line_drop_reasons", "wrap_tail_fates", "margin_notes"])
 def test_queries_on_long_lines(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     docs = spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string, source string, n_chars long")
