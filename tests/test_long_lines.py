@@ -33,6 +33,16 @@ def test_a_long_title_can_be_centred(spark):
     assert [r["centred"] for r in got.orderBy("line_no").collect()] == [True, False]
 
 
+def test_notes_read_and_deal_their_lines_once(spark, tmp_path):
+    rows = [(1, 0, i, t, 60.0 if i else 4.0, 300.0, 12.0) for i, t in enumerate(["a note", "It was a long day on the wide sea, and nobody had seen the hills for a week.", "And so it was again.", " "])]
+    spark.createDataFrame(rows, "doc_id long, page_index int, line_no int, text string, x double, right_edge double, font_size double").write.parquet(f"{tmp_path}/lines")
+    got = layout.noted(spark.read.parquet(f"{tmp_path}/lines"))
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan and "Aggregate" not in plan
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [r["line_no"] for r in got.filter("verdict LIKE 'drop-%'").collect()] == [0] and got.count() == 3
+
+
 def test_letters_set_apart_without_end(spark):
     texts = ["C H A P T E R " * 3000 + "X", "A B  C\tD " * 5000 + "E", "HERE", "C H A P", "C H A", "C H A PT E R"]
     got = L.drops(spark.createDataFrame([("s", 1, i, t) for i, t in enumerate(texts)], "source string, doc_id long, line_no int, line string"))
