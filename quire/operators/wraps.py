@@ -48,11 +48,30 @@ FATE = (
 )
 
 
+def judged(rows: DataFrame) -> DataFrame:
+    """rows (text, prev, hay), hay folded, with wrap and fate instead of hay."""
+    rows = rows.withColumns({"t": folded(F.col("text")), "p": folded(F.col("prev"))})
+    return rows.withColumn("wrap", F.expr(wrap())).withColumn("fate", F.expr(FATE)).drop("t", "p", "hay")
+
+
 def fates(drops: DataFrame, kept: DataFrame) -> DataFrame:
     """drops (doc_id, stage, reason, text, prev) with wrap and fate, held against kept (doc_id, text), one row a document."""
     hay = kept.select("doc_id", folded(F.col("text")).alias("hay"))
-    rows = drops.withColumns({"t": folded(F.col("text")), "p": folded(F.col("prev"))}).join(hay, "doc_id", "left").fillna("", ["hay"])
-    return rows.withColumn("wrap", F.expr(wrap())).withColumn("fate", F.expr(FATE)).drop("t", "p", "hay")
+    return judged(drops.join(hay, "doc_id", "left").fillna("", ["hay"]))
+
+
+def line_fates(found: DataFrame) -> DataFrame:
+    """fates() of the lines that go, against those that stay, from found (doc_id, line_no, line, reason).
+
+    The lines of a document meet as one array, so the reason of each is worked out once. Without an id nothing is held
+    against, as a join on it would have it.
+    """
+    gone = lambda x: x["reason"].startswith("drop-")
+    docs = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line", "reason"))).alias("all"))
+    each = F.transform("all", lambda x, i: F.struct(x["line_no"].alias("line_no"), x["line"].alias("text"), F.get("all", i - 1)["line"].alias("prev"), x["reason"].alias("reason")))
+    text = F.array_join(F.transform(F.filter("all", lambda x: ~gone(x)), lambda x: x["line"]), "\n")
+    rows = docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), folded(text)).otherwise("").alias("hay"), F.filter(each, gone).alias("gone")).select("doc_id", "hay", F.inline("gone"))
+    return judged(rows.withColumns({"stage": F.lit("lines"), "reason": F.substr("reason", F.lit(6))}))
 
 
 def mechanisms(found: DataFrame, *keys: str) -> DataFrame:

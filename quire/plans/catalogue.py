@@ -514,11 +514,7 @@ _FATES = (
 
 def _fates(spark: SparkSession, d: str) -> DataFrame:
     """Dropped lines of each document against what stays of it."""
-    held = _lines(spark, d)
-    kept = explained(held).filter(~F.col("reason").startswith("drop-"))
-    texts = kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    drops = L.drops(held).select("doc_id", "line_no", F.lit("lines").alias("stage"), F.substr("reason", F.lit(6)).alias("reason"), F.col("line").alias("text"), "prev")
-    return wraps.fates(drops, texts)
+    return wraps.line_fates(explained(_lines(spark, d)))
 
 
 @query(_FATES + "SELECT doc_id, line_no, reason, wrap, fate FROM fates")

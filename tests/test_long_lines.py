@@ -3,10 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from quire.operators import layout
+from quire.operators import layout, wraps
 from quire.operators import lines as L
-from quire.operators.drops import DUCKDB, SPARK, subtitle
+from quire.operators.drops import DUCKDB, SPARK, explained, subtitle
 from quire.plans.catalogue import ORACLE_SQL, QUERIES
 
 #: Documents with titles of 20,000 words, letters set apart for as long, and an end of a paragraph that recurs like a head.
@@ -43,6 +44,28 @@ def test_notes_read_and_deal_their_lines_once(spark, tmp_path):
     assert [r["line_no"] for r in got.filter("verdict LIKE 'drop-%'").collect()] == [0] and got.count() == 3
 
 
+def test_fates_ask_for_a_reason_once(spark, tmp_path):
+    """And say what the operator says that gets dropped and kept lines apart; documents without an id have nothing that stays."""
+    again, end = "and so it was.", "and nobody had seen the hills for a long week"
+    rows = [("s", i, 0, "A word of it") for i in (7, None)] + [("s", i, n, t) for i in (0, 1, 2, 3, None) for n, t in enumerate([end, again, "12", None, "", end, f"{i} It ended, and so it was. The end"])]
+    spark.createDataFrame(rows, "source string, doc_id long, line_no int, line string").filter("doc_id IS NOT NULL OR line_no < 1").write.parquet(f"{tmp_path}/lines")
+    held = spark.read.parquet(f"{tmp_path}/lines")
+    found = explained(held)
+    got = wraps.line_fates(found)
+    assert got._jdf.queryExecution().sparkPlan().toString().count("indd") == 1
+    kept = found.filter("reason NOT LIKE 'drop-%'").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    drops = L.drops(held).select("doc_id", "line_no", F.lit("lines").alias("stage"), F.substr("reason", F.lit(6)).alias("reason"), F.col("line").alias("text"), "prev")
+    want = wraps.fates(drops, kept)
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "line_no", "stage", "reason", "text", "prev", "wrap", "fate").collect()), key=str)
+    assert rows(got) == rows(want) and len({r[-1] for r in rows(got)}) > 1
+
+
+@pytest.mark.parametrize("name", ["wrap_tail_fates", "wrap_tail_mechanisms"])
+def test_queries_of_fates_ask_for_a_reason_once(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("indd") == 1
+
+
 def test_letters_set_apart_without_end(spark):
     texts = ["C H A P T E R " * 3000 + "X", "A B  C\tD " * 5000 + "E", "HERE", "C H A P", "C H A", "C H A PT E R"]
     got = L.drops(spark.createDataFrame([("s", 1, i, t) for i, t in enumerate(texts)], "source string, doc_id long, line_no int, line string"))
