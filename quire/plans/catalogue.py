@@ -514,7 +514,7 @@ _FATES = (
 
 def _fates(spark: SparkSession, d: str) -> DataFrame:
     """Dropped lines of each document against what stays of it."""
-    return wraps.line_fates(explained(_lines(spark, d)))
+    return wraps.line_fates(explained(_lines(spark, d), by_page=True))
 
 
 @query(_FATES + "SELECT doc_id, line_no, reason, wrap, fate FROM fates")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import layout, wraps
 from quire.operators import lines as L
-from quire.operators.drops import DUCKDB, SPARK, explained, subtitle
+from quire.operators.drops import DUCKDB, SPARK, explained, subtitle, trimmed
 from quire.plans.catalogue import ORACLE_SQL, QUERIES
 
 #: Documents with titles of 20,000 words, letters set apart for as long, and an end of a paragraph that recurs like a head.
@@ -92,3 +92,49 @@ def test_reasons_deal_their_lines_once(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert plan.count("ReusedExchange") == 1 and plan.count("FileScan") == 1
+
+
+def dealt(plan):
+    """Bytes of rows that the exchanges of a finished plan dealt out."""
+    below = plan.children()
+    return (plan.metrics().apply("dataSize").value() if plan.nodeName() == "Exchange" else 0) + sum(dealt(below.apply(i)) for i in range(below.size()))
+
+
+@pytest.mark.parametrize("name", ["wrap_tail_fates", "wrap_tail_mechanisms"])
+def test_queries_of_fates_deal_whole_lines_once(spark, tmp_path, name):
+    dice = random.Random(3)
+    texts = ["\n".join(" ".join(f"{dice.random()} it was" for _ in range(40)) for _ in range(20)) + "\nand nobody\nhad seen it." for _ in range(30)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = QUERIES[name](spark, str(tmp_path))
+        assert len(got.collect()) == (1 if name == "wrap_tail_mechanisms" else 60)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(map(len, texts)) < dealt(got._jdf.queryExecution().executedPlan()) < 2 * sum(map(len, texts))
+
+
+def test_pages_explain_as_lines_do(spark):
+    """With copies on a page, labels on several, pages and books without an id, blanks and lines about as long as a digest."""
+    texts = ["preface", " Preface\u00a0", "preface", "and so it was.", "and so it was.", "", " ", None, "x" * 31, "x" * 32, "x" * 33, "é" * 16 + "a long line that stays", "CHAPTER", "IV", "A Short Title", "7", "he went on and on, and nobody had seen it before"]
+    dice = random.Random(5)
+    rows = [(s, d, n, t, dice.random() < 0.2) for s in ("a", "b", None) for d in (1, 2, 3, 4, None) for n, t in enumerate(dice.choices(texts, k=14))]
+    lines = spark.createDataFrame(rows + [("c", None, 0, "he went", False), ("c", 9, 0, "he went", False), ("c", 8, 0, "he went", False)], "source string, doc_id long, line_no int, line string, mid boolean")
+    for more in ({}, {"centred": F.col("mid"), "font": F.col("line_no").cast("double")}):
+        want, got = explained(lines, **more), explained(lines, **more, by_page=True)
+        want = want.select(*got.columns)  # in another order
+        assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str) and 6 < got.select("reason").distinct().count()
+    assert got.filter("source = 'c'").select("pages").distinct().collect() == [(3,)]
+
+
+def test_blanks_around_a_line_are_those_of_the_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    blanks = [" ", "\t", "\r", "\f", "\n", "\x0b", "\u00a0", "\u0085", "\u2028", "\u3000", "x", "é"]
+    dice = random.Random(11)
+    texts = [None, ""] + ["".join(dice.choices(blanks, k=dice.randint(1, 6))) for _ in range(500)]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, x string").orderBy("i").select(trimmed(F.col("x"))).collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE l AS SELECT unnest(range(len(x))) AS i, unnest(x) AS line FROM (SELECT ? AS x)", [texts])
+    want = con.execute(r"SELECT regexp_replace(coalesce(line, ''), '^[\s\x{A0}]+|[\s\x{A0}]+$', '', 'g') FROM l ORDER BY i").fetchall()
+    assert got == [r[0] for r in want]
