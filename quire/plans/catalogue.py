@@ -200,7 +200,7 @@ def list_items_split(spark, d):
 
 @query(f"WITH {LINES_SQL}, {_ITEMS} SELECT doc_id, line_no, CAST(unnest(range(len(x))) AS INTEGER) AS nth, sha256(unnest(x)) AS print FROM s")
 def document_list_items(spark, d):
-    return blocks.split_at_markers(_lines(spark, d)).select("doc_id", "line_no", "nth", F.sha2("part", 256).alias("print"))
+    return blocks.split_in_passes(_lines(spark, d)).select("doc_id", "line_no", "nth", F.sha2("part", 256).alias("print"))
 
 
 

@@ -1,10 +1,13 @@
 """Page maps, places on a page, dropped ends of paragraphs and block transforms on small fixtures."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import blocks, catalog, counts, headings, layout, pagemap, quality, wraps
+from quire.plans.catalogue import ORACLE_SQL, QUERIES
 
 
 @pytest.mark.parametrize(
@@ -108,6 +111,20 @@ def test_items_within_a_text(spark, text, parts):
     assert [r["part"] for r in got] == parts
 
 
+def test_listed_items_are_those_of_the_sql(spark, tmp_path):
+    """Also of markers in a row, of which two passes leave some together, and between runs of blanks."""
+    duckdb = pytest.importorskip("duckdb")
+    dice = random.Random(4)
+    said = ["a.", "B)", "12.", "3)", "1.", "x", "see", "K.", "\u212a.", "\u017f)", "\u00e9.", "ab.", "\x01"]
+    blank = lambda: dice.choice((" ", " ", " ", "  ", "\t", "\r ", "\x0b", "\u00a0", " " * 9))
+    texts = ["x 1. 2. y", "a. b. c. d. e. f. g. h", "", " ", "\n", " " * 100_000 + "x" + " " * 100_000 + "1. y"] + ["".join(blank() * dice.randint(0, 1) + w + blank() for w in dice.choices(said, k=dice.randint(1, 12))) for _ in range(2000)]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(ORACLE_SQL["document_list_items"]).fetchall()
+    assert sorted(map(tuple, QUERIES["document_list_items"](spark, str(tmp_path)).collect())) == sorted(want) and sum(r[0] == 1 for r in want) < 8
+
+
 def test_parts_glued_into_prose(spark):
     rows = [(1, 0, "so it ended. PARTII: The Sea", False), (1, 1, "partiv: ", False), (1, 2, "PARTII: The Sea", True), (1, 3, None, False), (1, 4, "PartX: All", False)]
     got = blocks.split_parts(spark.createDataFrame(rows, "doc_id long, pos int, text string, is_heading boolean")).orderBy("pos", "nth").collect()
