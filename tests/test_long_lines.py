@@ -153,3 +153,16 @@ def test_edges_of_words_are_those_of_the_sql(spark):
     con.execute("CREATE TABLE l AS SELECT 's' AS source, unnest(range(len(x))) AS doc_id, 0 AS line_no, unnest(x) AS line FROM (SELECT ? AS x)", [EDGES + SIGNS])
     want = con.execute(f"WITH {REASONS_SQL} SELECT line, reason FROM r").fetchall()
     assert sorted(map(tuple, got)) == sorted(want) and dict(want)["La Monta\u00f1a"] == "keep-keep-default"
+
+
+@pytest.mark.parametrize("name", ["margin_notes", "centred_lines"])
+def test_places_of_words_with_such_edges(spark, tmp_path, name):
+    """Against one thread of DuckDB: with more, the SQL of notes can number clusters of equal places otherwise."""
+    duckdb = pytest.importorskip("duckdb")
+    dice = random.Random(13)
+    docs = [(i, "\n".join(dice.choices(EDGES, k=30)), f"s{i % 2}") for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(ORACLE_SQL[name]).fetchall())
